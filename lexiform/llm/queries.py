@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiform.llm import packing, sharding
+from lexiform.llm import decontamination, line_dedup, lm_scoring, packing, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_packing": packing.op2_packing,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+        "op6_decontamination": decontamination.op6_decontamination,
+        "op9_simhash": simhash.op9_simhash,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lm_scoring": lm_scoring.OP5_SQL, "op6_decontamination": decontamination.OP6_SQL}
