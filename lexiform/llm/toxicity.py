@@ -4,8 +4,8 @@ The kernel compares two words by their common subsequences of ORDER letters, eac
 letter it spans, so that gaps and inserted characters lower a match but don't lose it; it is normalised to 1 for
 equal words. Landmarks are words whose kernel against a word, times the inverse root of the landmarks' own kernel
 matrix, is its feature vector (Nyström). A support vector machine over these features, trained by stochastic
-subgradient steps, tells words that mark toxic sentences from others; a text's margin is that of its strongest
-words, over the whole text, and a logistic curve fitted to labelled texts turns it into a score.
+subgradient steps, tells words that mark toxic sentences from others; a text is rated by its strongest
+two words, over the whole text, and a logistic curve fitted to labelled texts turns both into a score.
 
 Training sees a bounded sample (SAMPLE labelled rows, chosen by a hash of doc_id) of rows whose crc32(doc_id) mod 5 is
 not 0. Executors turn its texts into distinct words; the driver gets, for each word, in how many toxic and other
@@ -21,8 +21,10 @@ rows are scored each; columns other than doc_id, text and labels' toxic are not
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -39,27 +41,35 @@ LAMBDA = 0.6
 LENGTH = 16
 #: Labelled rows of the training sample, and words that are landmarks or training examples.
 SAMPLE = 6000
-LANDMARKS = 160
+LANDMARKS = 400
 EXAMPLES = 3000
+ROUNDS = 3
 #: Words a task remembers the margins of.
 REMEMBERED = 300_000
-#: A word marks toxic texts if it occurs in this many of the sample, and nearly only in those.
+#: Texts of the sample that a word must be in to count; share of toxic ones, and evidence for it, that mark a word.
 MIN_TEXTS = 3
+MIN_RATIO = 11.5
 MIN_SHARE = 0.9
-EPOCHS = 40
+EPOCHS = 12
+#: Words of other texts above this margin are trained on once more.
+WRONG = -0.8
 SEED = 7
+#: The margin of no word at all; none is below it.
+FLOOR = -2.0
 
 _WORD = regex.compile(r"\p{L}+(?:[\p{L}\p{N}@$*_'\-]*\p{L})?")
 _NOT_LETTER = regex.compile(r"[^\p{L}]")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])\p{L}(?:[ .\-_*]\p{L}){3,}(?![\p{L}\p{N}])")
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct lower-case words of a text, spelled-out ones joined."""
+def words_of(text: str) -> dict[str, int]:
+    """The lower-case words of a text, spelled-out ones joined, and how often they occur."""
     low = text.lower()
-    out = set(_WORD.findall(low))
-    broken = [w for w in out if not w.isalpha()] + _SPACED.findall(low)
-    return out.difference(broken).union(_NOT_LETTER.sub("", w) for w in broken)
+    out = Counter(_WORD.findall(low))
+    for w in [w for w in out if not w.isalpha()]:
+        out[_NOT_LETTER.sub("", w)] += out.pop(w)
+    out.update(_NOT_LETTER.sub("", w) for w in _SPACED.findall(low))
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,8 +82,7 @@ class Model:
 
     triples: dict[str, float]
     bias: float
-    slope: float
-    offset: float
+    curve: tuple[float, float, float] = (0.0, 1.0, 1.0)  # offset, and slopes for the two strongest words
     constant: float | None = None
 
     def margin(self, word: str) -> float:
@@ -123,43 +132,65 @@ def _machine(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, c: float =
     return w, b
 
 
-def train(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Model:
-    """A model from (word, toxic texts with it, other texts with it) and the numbers of texts."""
+def marks(toxic_texts: int, other_texts: int, base: float) -> bool:
+    """Whether so one-sided a word is no chance find among very many words (log-likelihood ratio over MIN_RATIO)."""
+    q = toxic_texts / (toxic_texts + other_texts)
+    if q < MIN_SHARE or q <= base:
+        return False
+    return toxic_texts * log(q / base) + (other_texts * log((1 - q) / (1 - base)) if other_texts else 0.0) >= MIN_RATIO
+
+
+def train(counts: list[tuple[str, int, int]], toxic: int, clean: int, mine: Callable[[Model], list[str]] | None = None) -> Model:
+    """A model from (word, toxic texts with it, other texts with it) and the numbers of texts.
+
+    mine(model) gives words of other texts that come out on the wrong side, strongest first; they are added as examples and
+    landmarks, and training is repeated.
+    """
     if not toxic or not clean:
-        return Model({}, 0.0, 0.0, 0.0, constant=1.0 if toxic else 0.0)
+        return Model({}, 0.0, constant=1.0 if toxic else 0.0)
     base = toxic / (toxic + clean)
-    marked = sorted((w for w, t, c in counts if t >= MIN_TEXTS and len(w) >= ORDER and t / (t + c) >= max(MIN_SHARE, base)), key=lambda w: zlib.crc32(w.encode()))
-    weight = {w: t for w, t, _ in counts}
-    marked = sorted(marked, key=lambda w: -weight[w])[:EXAMPLES]
-    plain = sorted((w for w, t, c in counts if c >= MIN_TEXTS and len(w) >= ORDER and t / (t + c) < max(0.5, base)), key=lambda w: zlib.crc32(w.encode()))[:EXAMPLES]
+    counts = sorted((x for x in counts if len(x[0]) >= ORDER), key=lambda x: zlib.crc32(x[0].encode()))
+    marked = [w for w, _, _ in sorted((x for x in counts if marks(x[1], x[2], base)), key=lambda x: -x[1])][:EXAMPLES]
+    plain = [w for w, t, c in counts if c >= MIN_TEXTS and t / (t + c) < max(0.5, base)]
     if not marked or not plain:
-        return Model({}, 0.0, 0.0, 0.0, constant=base)
+        return Model({}, 0.0, constant=base)
     rng = np.random.default_rng(SEED)
-    landmarks = marked[: LANDMARKS * 3 // 4] + plain[: LANDMARKS - min(len(marked), LANDMARKS * 3 // 4)]
-    # Kernels are inner products of the triples' weights; over these many words that is the fast way to compute them.
-    landmark_feats = [_unit(w) for w in landmarks]
-    examples = marked + plain
-    names = {t: i for i, t in enumerate(dict.fromkeys(t for f in landmark_feats for t in f))}
-    base_matrix = np.zeros((len(landmarks), len(names)))
-    for i, f in enumerate(landmark_feats):
-        for t, v in f.items():
-            base_matrix[i, names[t]] = v
-    k_mm = base_matrix @ base_matrix.T
-    values, vectors = np.linalg.eigh(k_mm + 1e-6 * np.eye(len(landmarks)))
-    whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
-    k_nm = np.zeros((len(examples), len(landmarks)))
-    for i, w in enumerate(examples):
-        row = np.zeros(len(names))
-        for t, v in _unit(w).items():
-            if t in names:
-                row[names[t]] = v
-        k_nm[i] = base_matrix @ row
-    features = k_nm @ whiten
-    y = np.array([1.0] * len(marked) + [-1.0] * len(plain))
-    w, b = _machine(features, y, rng)
-    # A word's margin is linear in its triples: kernel with landmarks, whitened, times the machine's weights.
-    dense = base_matrix.T @ (whiten @ w)
-    return Model({t: float(dense[i]) for t, i in names.items()}, float(b), 1.0, 0.0)
+    examples, landmarks = plain[:EXAMPLES], marked[: LANDMARKS // 2] + plain[: LANDMARKS // 8]
+    model = _fitted(marked, examples, landmarks, rng)
+    for _ in range(ROUNDS):
+        known = set(examples) | set(marked)
+        wrong = [w for w in (mine(model) if mine else []) if w not in known][:EXAMPLES]
+        if not wrong:
+            break
+        examples = examples + wrong
+        landmarks = landmarks + wrong[: LANDMARKS // 4]
+        model = _fitted(marked, examples, landmarks, rng)
+    return model
+
+
+def _fitted(marked: list[str], plain: list[str], landmarks: list[str], rng: np.random.Generator) -> Model:
+    """The machine over the Nyström features of marked and plain words."""
+    feats = [_unit(w) for w in landmarks]
+    names = {t: i for i, t in enumerate(dict.fromkeys(t for f in feats for t in f))}
+
+    def matrix(found: list[dict[str, float]]) -> np.ndarray:
+        out = np.zeros((len(found), len(names)))
+        for i, f in enumerate(found):
+            for t, v in f.items():
+                if t in names:
+                    out[i, names[t]] = v
+        return out
+
+    # The kernel is the inner product of the triples' weights.
+    base = matrix(feats)
+    values, vectors = np.linalg.eigh(base @ base.T)
+    kept = values > 1e-6
+    whiten = vectors[:, kept] / np.sqrt(values[kept])
+    x = np.concatenate([matrix([_unit(w) for w in part[i : i + 500]]) @ base.T @ whiten for part in (marked, plain) for i in range(0, len(part), 500)])
+    w, b = _machine(x, np.array([1.0] * len(marked) + [-1.0] * len(plain)), rng)
+    # So a word's margin is linear in its triples: kernels with the landmarks, whitened, times the machine's weights.
+    dense = base.T @ (whiten @ w)
+    return Model({t: float(dense[i]) for t, i in names.items()}, float(b))
 
 
 def _unit(word: str) -> dict[str, float]:
@@ -169,32 +200,34 @@ def _unit(word: str) -> dict[str, float]:
 
 
 def calibrated(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
-    """The model with the logistic curve that fits the labelled texts' margins, both classes of equal weight."""
-    a, b = 1.0, 0.0
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    for _ in range(500):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = weight * (p - labels)
-        a -= 2.0 * float(g @ margins) + 1e-3 * a
-        b -= 2.0 * float(g.sum())
-    model.slope, model.offset = max(a, 1e-3), b
+    """The model with the logistic curve over the two margins that fits the labelled texts, by Newton steps."""
+    x = np.column_stack((np.ones(len(margins)), margins))
+    beta, ridge = np.zeros(3), np.diag([1e-3, 1e-1, 1e-1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - labels) + ridge @ beta)
+    model.curve = tuple(float(v) for v in beta)
     return model
 
 
-def text_margin(model: Model, memory: dict[str, float], text: str) -> float:
-    """The margin of a text's strongest word, with half of what the second strongest adds."""
-    best = second = -2.0
-    for w in words_of(text):
+def score_of(model: Model, margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model.curve[0] + margins @ np.array(model.curve[1:]), -30, 30)))
+
+
+def text_margin(model: Model, memory: dict[str, float], found: dict[str, int]) -> tuple[float, float]:
+    """The margins of a text's two strongest words, which are one word if that occurs twice."""
+    best = second = FLOOR
+    for w, n in found.items():
         m = memory.get(w)
         if m is None:
             if len(memory) >= REMEMBERED:
                 memory.clear()
-            m = memory[w] = model.margin(w)
+            m = memory[w] = max(FLOOR, model.margin(w))
         if m > best:
-            best, second = m, best
+            best, second = m, (m if n > 1 else best)
         elif m > second:
             second = m
-    return best + 0.5 * max(0.0, second)
+    return best, second
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -202,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
     if not n:
-        return Model({}, 0.0, 0.0, 0.0, constant=0.0)
+        return Model({}, 0.0, constant=0.0)
     part = min(1.0, sample / n)
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(part * 1_000_000)).where("doc_id is not null")
     # At most about sample narrow rows: broadcast.
@@ -210,15 +243,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(words_of(t.as_py() or "")) for t in b.column("text")]
+            found = [[w for w, n in sorted(words_of(t.as_py() or "").items()) for _ in range(min(n, 2))] for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column("toxic")], names=["words", "toxic"])
 
     split_ = texts.mapInArrow(split, "words array<string>, toxic int").persist()
     try:
         kinds = {r["toxic"]: r["n"] for r in split_.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        per_word = split_.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        per_word = split_.select(F.explode(F.array_distinct("words")).alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
         marked = per_word.where(f"t >= {MIN_TEXTS} or c >= {MIN_TEXTS}").collect()  # frequent words of a bounded sample
-        model = train([(r["word"], r["t"], r["c"]) for r in marked], kinds.get(1, 0), kinds.get(0, 0))
+
+        def mine(model: Model) -> list[str]:
+            """The strongest words of the sample's other texts, found where the texts are."""
+            shared = docs.sparkSession.sparkContext.broadcast(model)
+
+            def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                m, seen = shared.value, set()
+                for b in batches:
+                    new = {w for ws in b.column("words").to_pylist() for w in ws if len(w) >= ORDER} - seen
+                    seen |= new
+                    got = [(w, x) for w in new if (x := m.margin(w)) > WRONG]
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["word", "m"])
+
+            found = split_.where("toxic = 0").select("words").mapInArrow(strong, "word string, m double")
+            return [r["word"] for r in found.groupBy("word").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "word").limit(2 * EXAMPLES).collect()]
+
+        model = train([(r["word"], r["t"], r["c"]) for r in marked], kinds.get(1, 0), kinds.get(0, 0), mine)
         if model.constant is not None:
             return model
         spark = docs.sparkSession
@@ -227,11 +276,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, memory = shared.value, {}
             for b in batches:
-                got = [text_margin(m, memory, " ".join(w)) for w in b.column("words").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column("toxic")], names=["m", "toxic"])
+                got = [text_margin(m, memory, Counter(w)) for w in b.column("words").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64()), b.column("toxic")], names=["best", "second", "toxic"])
 
-        rated = split_.mapInArrow(rate, "m double, toxic int").collect()  # two numbers for each sampled row
-        return calibrated(model, np.array([r["m"] for r in rated]), np.array([r["toxic"] for r in rated]))
+        rated = split_.mapInArrow(rate, "best double, second double, toxic int").collect()  # three numbers for each sampled row
+        return calibrated(model, np.array([(r["best"], r["second"]) for r in rated]), np.array([r["toxic"] for r in rated]))
     finally:
         split_.unpersist()
 
@@ -247,8 +296,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             if m.constant is not None:
                 yield pd.Series([m.constant] * len(series))
                 continue
-            margins = np.array([text_margin(m, memory, t) if isinstance(t, str) else -2.0 for t in series])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(m.slope * margins + m.offset, -30, 30))))
+            yield pd.Series(score_of(m, np.array([text_margin(m, memory, words_of(t if isinstance(t, str) else "")) for t in series])))
 
     return docs.withColumn("toxicity", toxicity("text"))
 
