@@ -201,12 +201,21 @@ def _unit(word: str) -> dict[str, float]:
 
 def calibrated(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
     """The model with the logistic curve over the two margins that fits the labelled texts, by Newton steps."""
-    x = np.column_stack((np.ones(len(margins)), margins))
-    beta, ridge = np.zeros(3), np.diag([1e-3, 1e-1, 1e-1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - labels) + ridge @ beta)
-    model.curve = tuple(float(v) for v in beta)
+    def newton(columns: list[int]) -> np.ndarray:
+        x = np.column_stack((np.ones(len(margins)), margins))[:, columns]
+        beta, ridge = np.zeros(len(columns)), np.diag([1e-3] + [1e-1] * (len(columns) - 1))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - labels) + ridge @ beta)
+        out = np.zeros(3)
+        out[columns] = beta
+        return out
+
+    curve = newton([0, 1, 2])
+    for column in (1, 2):  # a stronger word never lowers a score
+        if curve[column] < 0:
+            curve = newton([0, 3 - column])
+    model.curve = tuple(float(v) for v in curve)
     return model
 
 
