@@ -5,7 +5,8 @@ residue, so boundaries depend on the lines around them alone and come back where
 line of passage length (MIN_WORDS) is a chunk by itself. Of a chunk of MIN_LINES lines or more (or such a line) the
 first occurrence in the corpus, by doc_id and place, stays; others go after their bytes have been compared with those
 of the first. Where a passage begins or ends inside a chunk, the lines beside a repeated chunk are compared with those
-beside its first occurrence, up to REACH lines each way, and go too as far as they are equal. A line that goes is
+beside its first occurrence, up to REACH lines each way by
+128-bit digests, and go too as far as they are equal. A line that goes is
 always equal to one at an earlier place, so the earliest copy of everything stays.
 
 What is shuffled is a row of hashes for each chunk, and once the texts of documents that hold repeated chunks.
@@ -19,6 +20,7 @@ whatever name, pass through deduplicate().
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,8 @@ MIN_LINES = 2
 MIN_WORDS = 50
 #: Lines beside a repeated chunk that are compared; chunks have DIVISOR lines on average.
 REACH = 16
+#: Bytes of the digest by which those lines are compared.
+MARK = 16
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -123,7 +127,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 for s in spans:
                     a, b = s["first"], s["behind"]
-                    out.append((doc_id, key, a, b, s["hash"], s["is_first"], "\n".join(lines[a:b]), lines[max(0, a - REACH) : a][::-1], lines[b : b + REACH]))
+                    out.append((doc_id, key, a, b, s["hash"], s["is_first"], "\n".join(lines[a:b]), _marks(lines[max(0, a - REACH) : a][::-1]), _marks(lines[b : b + REACH])))
             yield _batch(out, _BODY)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +146,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 _GONE = {"doc_id": pa.int64(), "row_hash": pa.int64(), "first": pa.int32(), "behind": pa.int32()}
-_BODY = _GONE | {"hash": pa.int64(), "is_first": pa.bool_(), "body": pa.string(), "head": pa.list_(pa.string()), "tail": pa.list_(pa.string())}
-_SQL_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.string(): "string", pa.list_(pa.string()): "array<string>"}
+_BODY = _GONE | {"hash": pa.int64(), "is_first": pa.bool_(), "body": pa.string(), "head": pa.binary(), "tail": pa.binary()}
+_SQL_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.string(): "string", pa.binary(): "binary"}
 
 
 def _ddl(kinds: dict[str, pa.DataType]) -> str:
@@ -155,14 +159,17 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _equal(a: list[str], b: list[str]) -> int:
-    """Elements that two lists share from their start."""
+def _marks(lines: list[str]) -> bytes:
+    """MARK bytes of cryptographic digest for each line."""
+    return b"".join(blake2b(x.encode(), digest_size=MARK).digest() for x in lines)
+
+
+def _equal(a: bytes, b: bytes) -> int:
+    """Lines that two runs of marks share from their start."""
     n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+    while n + MARK <= min(len(a), len(b)) and a[n : n + MARK] == b[n : n + MARK]:
+        n += MARK
+    return n // MARK
 
 
 def _row_hash(docs: DataFrame):
