@@ -24,6 +24,8 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 from math import log
 
 import numpy as np
@@ -46,6 +48,11 @@ EXAMPLES = 3000
 ROUNDS = 3
 #: Words a task remembers the margins of.
 REMEMBERED = 300_000
+#: Words rated in one step, and characters of texts (one text at least) whose words are held at a time.
+TOGETHER = 1000
+CHUNK = 1_000_000
+#: Letters, one for all others included, up to which the weights of triples are a plain table.
+DENSE_LETTERS = 128
 #: Texts of the sample that a word must be in to count; share of toxic ones, and evidence for it, that mark a word.
 MIN_TEXTS = 3
 MIN_RATIO = 11.5
@@ -85,16 +92,74 @@ class Model:
     curve: tuple[float, float, float] = (0.0, 1.0, 1.0)  # offset, and slopes for the two strongest words
     constant: float | None = None
 
-    def margin(self, word: str) -> float:
-        if len(word) > LENGTH:
-            step = LENGTH // 2
-            return max(self.margin(word[i : i + LENGTH]) for i in range(0, len(word) - step, step))
-        feats = triple_weights(word)
-        norm = sum(v * v for v in feats.values()) ** 0.5
-        if not norm:
-            return self.bias
-        get = self.triples.get
-        return sum(v * get(t, 0.0) for t, v in feats.items()) / norm + self.bias
+
+class Rater:
+    """Margins of many words at once: words of one length share the places of their triples and the kernel's recursion."""
+
+    def __init__(self, model: Model):
+        self.bias = model.bias
+        self.letters = np.array(sorted({ord(c) for t in model.triples for c in t}), np.int64)
+        n = len(self.letters) + 1  # the last index stands for letters without weights
+        codes = np.array([self._code(np.searchsorted(self.letters, [ord(c) for c in t])) for t in model.triples], np.int64)
+        order = np.argsort(codes)
+        self.codes, self.weights = codes[order], np.array(list(model.triples.values()), float)[order]
+        self.dense = None
+        if n <= DENSE_LETTERS:
+            self.dense = np.zeros(n**ORDER)
+            self.dense[self.codes] = self.weights
+
+    def _code(self, at: np.ndarray) -> np.ndarray:
+        n = len(self.letters) + 1
+        return (at[..., 0] * n + at[..., 1]) * n + at[..., 2]
+
+    def _weight(self, codes: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[codes]
+        if not len(self.codes):
+            return np.zeros(codes.shape)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.weights[at], 0.0)
+
+    def _same_length(self, words: list[str]) -> np.ndarray:
+        """The margins of words of equal length, of LENGTH letters at most."""
+        n = len(words[0])
+        if n < ORDER:
+            return np.full(len(words), self.bias)
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.int64)
+        at = np.searchsorted(self.letters, letters)
+        if len(self.letters):
+            at = np.where(self.letters[np.minimum(at, len(self.letters) - 1)] == letters, at, len(self.letters))
+        places, powers = _places(n)
+        linear = self._weight(self._code(at[:, places])) @ powers
+        # The kernel of each word with itself: pairs of equal letters, carried on by a discounted sum over all earlier pairs.
+        same = (letters[:, :, None] == letters[:, None, :]).astype(float)
+        gap = np.tril(LAMBDA ** np.maximum(np.subtract.outer(np.arange(n), np.arange(n)), 0), -1)
+        own = same
+        for _ in range(ORDER - 1):
+            own = same * (gap @ own @ gap.T)
+        return linear / np.sqrt(LAMBDA**2 * own.sum((1, 2))) + self.bias
+
+    def margins(self, words: list[str]) -> np.ndarray:
+        """One margin a word; a word of over LENGTH letters has that of its strongest window."""
+        by_length: dict[int, tuple[list[int], list[str]]] = {}
+        step = LENGTH // 2
+        for i, w in enumerate(words):
+            for part in [w] if len(w) <= LENGTH else (w[a : a + LENGTH] for a in range(0, len(w) - step, step)):
+                at, parts = by_length.setdefault(len(part), ([], []))
+                at.append(i)
+                parts.append(part)
+        out = np.full(len(words), -np.inf)
+        for at, parts in by_length.values():
+            for a in range(0, len(parts), TOGETHER):
+                np.maximum.at(out, at[a : a + TOGETHER], self._same_length(parts[a : a + TOGETHER]))
+        return out
+
+
+@cache
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all triples in n letters, and LAMBDA to the letters each spans."""
+    at = np.array(list(combinations(range(n), ORDER)))
+    return at, LAMBDA ** (at[:, -1] - at[:, 0] + 1.0)
 
 
 def triple_weights(word: str) -> dict[str, float]:
@@ -223,20 +288,37 @@ def score_of(model: Model, margins: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.curve[0] + margins @ np.array(model.curve[1:]), -30, 30)))
 
 
-def text_margin(model: Model, memory: dict[str, float], found: dict[str, int]) -> tuple[float, float]:
-    """The margins of a text's two strongest words, which are one word if that occurs twice."""
-    best = second = FLOOR
-    for w, n in found.items():
-        m = memory.get(w)
-        if m is None:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            m = memory[w] = max(FLOOR, model.margin(w))
-        if m > best:
-            best, second = m, (m if n > 1 else best)
-        elif m > second:
-            second = m
-    return best, second
+def text_margins(rater: Rater, memory: dict[str, float], texts: list[dict[str, int]]) -> list[tuple[float, float]]:
+    """The margins of each text's two strongest words, which are one word if that occurs twice."""
+    if len(memory) > REMEMBERED:
+        memory.clear()
+    new = list({w for found in texts for w in found if w not in memory})
+    memory.update(zip(new, np.maximum(FLOOR, rater.margins(new)).tolist()))
+    out = []
+    for found in texts:
+        best = second = FLOOR
+        for w, n in found.items():
+            m = memory[w]
+            if m > best:
+                best, second = m, (m if n > 1 else best)
+            elif m > second:
+                second = m
+        out.append((best, second))
+    return out
+
+
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most CHUNK characters or one text."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t) > CHUNK:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -266,11 +348,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             shared = docs.sparkSession.sparkContext.broadcast(model)
 
             def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                m, seen = shared.value, set()
+                rater, seen = Rater(shared.value), set()
                 for b in batches:
-                    new = {w for ws in b.column("words").to_pylist() for w in ws if len(w) >= ORDER} - seen
-                    seen |= new
-                    got = [(w, x) for w in new if (x := m.margin(w)) > WRONG]
+                    new = list({w for ws in b.column("words").to_pylist() for w in ws if len(w) >= ORDER} - seen)
+                    seen.update(new)
+                    got = [(w, x) for w, x in zip(new, rater.margins(new).tolist()) if x > WRONG]
                     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["word", "m"])
 
             found = split_.where("toxic = 0").select("words").mapInArrow(strong, "word string, m double")
@@ -283,9 +365,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         shared = spark.sparkContext.broadcast(model)
 
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, memory = shared.value, {}
+            rater, memory = Rater(shared.value), {}
             for b in batches:
-                got = [text_margin(m, memory, Counter(w)) for w in b.column("words").to_pylist()]
+                got = text_margins(rater, memory, [Counter(w) for w in b.column("words").to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64()), b.column("toxic")], names=["best", "second", "toxic"])
 
         rated = split_.mapInArrow(rate, "best double, second double, toxic int").collect()  # three numbers for each sampled row
@@ -301,11 +383,13 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m, memory = shared.value, {}
+        rater = Rater(m)
         for series in texts:
-            if m.constant is not None:
-                yield pd.Series([m.constant] * len(series))
+            if m.constant is not None or not len(series):
+                yield pd.Series([m.constant or 0.0] * len(series), dtype="float64")
                 continue
-            yield pd.Series(score_of(m, np.array([text_margin(m, memory, words_of(t if isinstance(t, str) else "")) for t in series])))
+            found = (text_margins(rater, memory, [words_of(t) for t in part]) for part in chunks([t if isinstance(t, str) else "" for t in series]))
+            yield pd.Series(score_of(m, np.array([x for part in found for x in part])))
 
     return docs.withColumn("toxicity", toxicity("text"))
 
