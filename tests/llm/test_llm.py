@@ -148,3 +148,33 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     blocks = sorted((r.first_key, r.file, r.offset, r.length) for r in directory.collect())
     assert sorted(p for _, p in warc.lookup(blocks, index, archive, "http://www.example.com/a?b=1")) == sorted([body.encode(), b"y"])
     assert warc.lookup(blocks, index, archive, "http://nowhere.net/") == [] and os.path.isdir(archive)
+
+
+def test_words_rated_together_have_the_margins_of_the_kernel():
+    rng = np.random.default_rng(3)
+    known = ["idiot", "moron", "grüße", "clownish", "табак", "a" * 16]
+    model = toxicity.Model({t: float(rng.normal()) for w in known for t in toxicity.triple_weights(w)}, -0.3)
+
+    def plain(word):
+        if len(word) > toxicity.LENGTH:
+            step = toxicity.LENGTH // 2
+            return max(plain(word[i : i + toxicity.LENGTH]) for i in range(0, len(word) - step, step))
+        f = toxicity.triple_weights(word)
+        norm = sum(v * v for v in f.values()) ** 0.5
+        return sum(v * model.triples.get(t, 0.0) for t, v in f.items()) / norm + model.bias if norm else model.bias
+
+    words = ["", "a", "ab", "idiot", "idixot", "ab" * 5000, "x" * 17, "日本語", "\U0001f600ab", "grüßen", *("".join(rng.choice(list("idotmrn"), n)) for n in range(3, 40))]
+    want = [plain(w) for w in words]
+    assert np.allclose(toxicity.Rater(model).margins(words), want)
+    dense, toxicity.DENSE_LETTERS = toxicity.DENSE_LETTERS, 2
+    try:
+        assert np.allclose(toxicity.Rater(model).margins(words), want)
+    finally:
+        toxicity.DENSE_LETTERS = dense
+    assert (toxicity.Rater(toxicity.Model({}, 0.5)).margins(words) == 0.5).all()
+
+
+def test_chunks_keep_all_texts_in_order():
+    texts = ["a" * n for n in (0, 5, 999_999, 1, 1_500_000, 0, 3)]
+    parts = list(toxicity.chunks(texts))
+    assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(map(len, p)) <= toxicity.CHUNK for p in parts)
