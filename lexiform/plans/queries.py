@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
-from lexiform.operators import tensor, wordpiece
+from lexiform.operators import bpe, encoder, tensor, wordpiece
+from lexiform.sources import container
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -130,12 +131,133 @@ def quant_size(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).groupBy("label").agg((n * 4).alias("f32_bytes"), F.expr("cast(sum(size(v)) div 32 * 34 as bigint)").alias("q8_0_bytes"))
 
 
+def special_split(spark: SparkSession, d: str) -> DataFrame:
+    """Special tokens inside texts whose every "the" is made a mask."""
+    masked = F.regexp_replace("text", " the ", " <mask>")
+    runs = _t(spark, d, "documents").select("doc_id", F.posexplode(bpe.special_split(masked)).alias("pos", "run"))
+    return runs.select("doc_id", "pos", "run")
+
+
+def pre_tokenize(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(bpe.pre_tokens(F.col("text"))).alias("pos", "token"))
+
+
+def byte_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in the byte alphabet, as lengths and the digest of the result."""
+    return _t(spark, d, "documents").select("doc_id", bpe.byte_encode(F.col("text")).alias("c")).select("doc_id", F.char_length("c").cast("long").alias("chars"), F.md5("c").alias("digest"))
+
+
+#: Merges that never make a pair of lower rank, so that replacing pair by pair in this order gives the same result.
+_MERGES = (("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), ("a", "n"), ("an", "d"), ("in", "g"), ("o", "n"), ("e", "n"))
+
+
+def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of each distinct lower-case word of letters after nine merges, joined by blanks."""
+    letters = [chr(97 + i) for i in range(26)]
+    names = letters + [a + b for a, b in _MERGES]
+    model = bpe.Bpe({t: i for i, t in enumerate(names)}, {(names.index(a), names.index(b)): (n, names.index(a + b)) for n, (a, b) in enumerate(_MERGES)})
+    words = _words(spark, d).where(F.col("word").rlike("^[a-z]+$")).select("word").distinct()
+    ids = bpe.merged_ids(F.array("word"), model.merge)
+    return words.select("word", F.array_join(F.transform(ids, lambda i: F.element_at(F.array(*map(F.lit, names)), i + 1)), " ").alias("symbols"))
+
+
+def id_to_token(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the vocabulary's ids by length, and of ids that no token has."""
+    vocab = _vocab(spark, d).select(F.length("token").alias("chars"), "id", "token")
+    asked = vocab.select("chars").distinct().select("chars", F.explode(F.array(F.lit(1), F.lit(2), F.lit(1_000_000))).alias("id"))
+    return asked.join(vocab, ["chars", "id"], "left").select("chars", "id", "token")
+
+
+def wrap_cls_sep(spark: SparkSession, d: str) -> DataFrame:
+    """Words by length as ids, between 101 and 102, with the flag of too long texts."""
+    ids = F.concat(F.array(F.lit(101)), F.transform(T.split_spaces(T.clean_text(F.col("text"))), F.length), F.array(F.lit(102)))
+    out = _t(spark, d, "documents").select("doc_id", ids.alias("ids"))
+    return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), (F.size("ids") > 512).alias("too_long"))
+
+
+def vocab_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each part name's bytes begin in their concatenation by brand."""
+    size = F.octet_length("p_name").cast("long")
+    w = W.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(W.unboundedPreceding, 0)
+    return _t(spark, d, "part").select("p_partkey", size.alias("len"), (F.sum(size).over(w) - size).alias("begin"))
+
+
+def special_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Roles by stored id, first alternative or second; nations are the vocabulary."""
+    vocab = _t(spark, d, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").cast("int").alias("id"))
+    return container.special_ids(vocab, {"cls": (None, ("BRAZIL", "CHINA")), "sep": (None, ("ATLANTIS", "CHINA")), "pad": (77, ("BRAZIL",)), "unk": (None, ("ATLANTIS",))})
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segment ids of turns (user 0, others 1), and whether a model of one segment takes them."""
+    seg = F.when(F.col("role") == "user", 0).otherwise(1)
+    return _t(spark, d, "conversations").select("conv_id", "turn", seg.alias("segment"), (seg < 1).alias("ok"))
+
+
+def dense(spark: SparkSession, d: str) -> DataFrame:
+    """x W' + b with W[i,j] = ((31 i + 17 j) mod 13 - 6) / 64 and b[i] = i, i < 8."""
+    def out(i: Column) -> Column:
+        return tensor.total(F.transform(F.col("v"), lambda x, j: x * (((i * 31 + j * 17) % 13 - 6) / F.lit(64.0)))) + i
+
+    v = _vectors(spark, d).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), out).alias("y"))
+    return v.select("vec_id", F.posexplode("y").alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
+
+
+def quant_q4_0(spark: SparkSession, d: str) -> DataFrame:
+    x = _vectors(spark, d).select("vec_id", F.posexplode("v").alias("dim", "x")).withColumn("block", F.expr("dim div 32"))
+    w = W.partitionBy("vec_id", "block")
+    scale = F.max_by("x", F.struct(F.abs("x"), -F.col("dim"))).over(w) / -8
+    code = F.least(F.lit(15.0), F.floor(F.col("x") / F.col("d") + 8.5).cast("double"))
+    return x.withColumn("d", scale).select("vec_id", "dim", F.when(F.col("d") != 0, code).otherwise(8.0).cast("int").alias("q"))
+
+
+def quant_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of Q8_0 in 16 bins."""
+    bins = F.least(F.expr("(q + 127) * 16 div 255"), F.lit(15))
+    return quant_q8_0(spark, d).groupBy(bins.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def attention_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Softmax over the eight parts of a vector of 64 as tokens, of their dot products over the root of 8: an array form of the join of a text with itself."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
+    p = _vectors(spark, d).select("vec_id", parts.alias("t"))
+    weights = F.transform("t", lambda a: tensor.softmax(F.transform(F.col("t"), lambda b: tensor.dot(a, b) / F.sqrt(F.lit(8.0)))))
+    rows = p.select("vec_id", F.posexplode(weights).alias("query", "w"))
+    return rows.select("vec_id", "query", F.posexplode("w").alias("key", "p")).select("vec_id", "query", "key", F.round("p", 6).alias("p"))
+
+
+def _masked(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of 5 to 510 words as ids (a word's length, at most 28), 1 before, 2 after, the third word a mask (3)."""
+    ids = F.transform(T.split_spaces(T.clean_text(F.col("text"))), lambda w, i: F.when(i == 2, 3).otherwise(F.least(F.length(w) + 3, F.lit(31))))
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit(1)), ids, F.array(F.lit(2))).alias("ids"))
+    return docs.where(F.size("ids").between(7, 512))
+
+
+def encode_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled vectors of a small model with closed-form weights."""
+    out = encoder.encode(_masked(spark, d), encoder.synthetic(32), "cls")
+    return out.select("doc_id", "error", F.transform(F.element_at("vectors", 1), lambda x: F.round(x, 5)).alias("vector"))
+
+
+def fill_mask(spark: SparkSession, d: str) -> DataFrame:
+    """The three likeliest tokens at each text's mask, by that model."""
+    return encoder.fill_mask(_masked(spark, d), encoder.synthetic(32), 3, 3).select("doc_id", "error", "rank", "token_id", F.round("prob", 6).alias("prob"))
+
+
+#: Queries of a whole model, which SQL can't express in reason; tests compare the model with plain loops.
+UNPAIRED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"encode_texts": encode_texts, "fill_mask": fill_mask}
+
 _W = r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{0000}\x{FFFD}]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g') AS clean FROM documents),
 s AS (SELECT doc_id, list_filter(string_split(clean, ' '), lambda x: x <> '') AS ws FROM c),
 w AS (SELECT doc_id, i::INT AS pos, ws[i + 1] AS word FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM s)),
 v AS (SELECT token, n, (row_number() OVER (PARTITION BY length(token) ORDER BY n DESC, token))::INT AS id FROM (SELECT word AS token, count(DISTINCT doc_id) AS n FROM w GROUP BY 1) WHERE n >= 2)
 """
 _E = "WITH e AS (SELECT vec_id, label, (i - 1)::INT AS dim, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))\n"
+# Symbols with a blank before and after each; merges replace pairs one after the other.
+_merged_sql = "regexp_replace(word, '(.)', ' \\1 ', 'g')"
+for _a, _b in _MERGES:
+    _merged_sql = f"replace({_merged_sql}, ' {_a}  {_b} ', ' {_a + _b} ')"
+_merged_sql = "array_to_string(list_filter(string_split(" + _merged_sql + ", ' '), lambda x: x <> ''), ' ')"
 
 PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "clean_text": (clean_text, _W + "SELECT doc_id, clean FROM c"),
@@ -166,4 +288,42 @@ SELECT word, length(word) AS pieces, array_to_string(list_transform(range(1, len
     "topk": (topk, _E + "SELECT vec_id, rank::INT AS rank, dim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, dim) AS rank FROM e) WHERE rank <= 3"),
     "quant_q8_0": (quant_q8_0, _E + "SELECT vec_id, dim, (CASE WHEN d > 0 THEN round(x / d) ELSE 0 END)::INT AS q FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, dim // 32) / 127 AS d FROM e)"),
     "quant_size": (quant_size, "SELECT label, sum(len(embedding))::BIGINT * 4 AS f32_bytes, (sum(len(embedding))::BIGINT // 32 * 34)::BIGINT AS q8_0_bytes FROM embeddings GROUP BY 1"),
+    "special_split": (
+        special_split,
+        r"""WITH m AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, ' the ', ' <mask>'), '<mask>'), lambda x: true) AS g FROM documents),
+e AS (SELECT doc_id, unnest(flatten(list_transform(g, lambda x, i: CASE WHEN i < len(g) THEN [regexp_replace(x, '[\t\p{Zs}]+$', ''), '<mask>'] ELSE [x] END))) AS run, unnest(range(2 * len(g) - 1)) AS i FROM m)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, run FROM e WHERE run <> ''""",
+    ),
+    "pre_tokenize": (
+        pre_tokenize,
+        r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([\t\n\f\r\p{Z}]+)([\t\n\f\r\p{Z}][^\t\n\f\r\p{Z}])', '\1' || chr(57344) || '\2', 'g') AS t FROM documents),
+p AS (SELECT doc_id, list_filter(regexp_extract_all(t, chr(57344) || '|''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\t\n\f\r\p{Z}\p{L}\p{N}' || chr(57344) || ']+|[\t\n\f\r\p{Z}]+'), lambda x: x <> chr(57344)) AS ps FROM m)
+SELECT doc_id, i::INT AS pos, ps[i + 1] AS token FROM (SELECT *, unnest(range(len(ps))) AS i FROM p)""",
+    ),
+    "byte_encode": (
+        byte_encode,
+        """WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+k AS (SELECT list(b ORDER BY b) AS others FROM range(256) t(b) WHERE NOT (b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255)),
+m AS (SELECT list(CASE WHEN list_contains(others, b) THEN chr((255 + list_position(others, b))::INT) ELSE chr(b::INT) END ORDER BY b) AS names FROM range(256) t(b), k),
+c AS (SELECT doc_id, array_to_string(list_transform(range(0, length(h), 2), lambda i: names[('0x' || h[i + 1 : i + 2])::INT + 1]), '') AS c FROM b, m)
+SELECT doc_id, length(c) AS chars, md5(c) AS digest FROM c""",
+    ),
+    "bpe_merges": (bpe_merges, _W + f"SELECT word, {_merged_sql} AS symbols FROM (SELECT DISTINCT word FROM w WHERE regexp_full_match(word, '[a-z]+'))"),
+    "id_to_token": (id_to_token, _W + "SELECT a.chars::INT AS chars, a.id, token FROM (SELECT DISTINCT length(token) AS chars, unnest([1, 2, 1000000])::INT AS id FROM v) a LEFT JOIN v ON length(token) = a.chars AND v.id = a.id"),
+    "wrap_cls_sep": (wrap_cls_sep, _W + "SELECT doc_id, array_to_string(list_concat(['101'], list_transform(ws, lambda x: length(x)::VARCHAR), ['102']), ' ') AS ids, len(ws) + 2 > 512 AS too_long FROM s WHERE ws IS NOT NULL"),
+    "vocab_offsets": (vocab_offsets, "SELECT p_partkey, strlen(p_name) AS len, (sum(strlen(p_name)) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - strlen(p_name))::BIGINT AS begin FROM part"),
+    "special_ids": (
+        special_ids,
+        """WITH v AS (SELECT n_name AS token, n_nationkey::INT AS id FROM nation)
+SELECT role, coalesce(stored, (SELECT id FROM v WHERE token = a), (SELECT id FROM v WHERE token = b)) AS id FROM (VALUES ('cls', NULL, 'BRAZIL', 'CHINA'), ('sep', NULL, 'ATLANTIS', 'CHINA'), ('pad', 77, 'BRAZIL', NULL), ('unk', NULL, 'ATLANTIS', NULL)) t(role, stored, a, b)""",
+    ),
+    "segments": (segments, "SELECT conv_id, turn, (CASE WHEN role = 'user' THEN 0 ELSE 1 END)::INT AS segment, role IS NOT DISTINCT FROM 'user' AS ok FROM conversations"),
+    "dense": (dense, _E + "SELECT vec_id, i::INT AS dim, round(sum(x * (((i * 31 + dim * 17) % 13 - 6) / 64e0)) + i, 6) AS x FROM e, range(8) t(i) GROUP BY vec_id, i"),
+    "quant_q4_0": (quant_q4_0, _E + "SELECT vec_id, dim, (CASE WHEN d <> 0 THEN least(15, floor(x / d + 8.5e0)) ELSE 8 END)::INT AS q FROM (SELECT *, first_value(x) OVER (PARTITION BY vec_id, dim // 32 ORDER BY abs(x) DESC, dim) / -8e0 AS d FROM e)"),
+    "quant_histogram": (quant_histogram, _E + ", q AS (SELECT (CASE WHEN d > 0 THEN round(x / d) ELSE 0 END)::INT AS q FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, dim // 32) / 127 AS d FROM e)) SELECT least((q + 127) * 16 // 255, 15)::INT AS bin, count(*) AS n FROM q GROUP BY 1"),
+    "attention_scores": (
+        attention_scores,
+        _E + """, s AS (SELECT a.vec_id, a.dim // 8 AS query, b.dim // 8 AS key, exp(sum(a.x * b.x) / sqrt(8e0)) AS s FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.dim % 8 = b.dim % 8 GROUP BY ALL)
+SELECT vec_id, query::INT AS query, key::INT AS key, round(s / sum(s) OVER (PARTITION BY vec_id, query), 6) AS p FROM s""",
+    ),
 }

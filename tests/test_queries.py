@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
 from lexiform.operators import tensor, wordpiece
-from lexiform.plans.queries import PAIRS
+from lexiform.plans.queries import PAIRS, UNPAIRED
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     query, sql = PAIRS[name]
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "part"):
+    for t in ("documents", "embeddings", "part", "nation", "conversations"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = query(spark, DATA), con.sql(sql)
     cols = sorted(want.columns)
@@ -27,6 +27,12 @@ def test_query_equals_sql(spark, name):
     assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(UNPAIRED))
+def test_query_runs(spark, name):
+    rows = UNPAIRED[name](spark, DATA).collect()
+    assert rows and all(r.error is None for r in rows)
+
+
 def _one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
