@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
+from lexiform.operators.tensor import let
 
 # Bytes that stand for themselves; every other byte is, in order, a character from U+0100 on.
 PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
@@ -53,12 +54,12 @@ def byte_decode(c: Column) -> Column:
 def special_split(c: Column, specials: tuple[str, ...] = SPECIALS) -> Column:
     """Special tokens and the runs between them; a run before the mask loses its blanks at the end."""
     pattern = "|".join(specials)
-    runs = F.regexp_extract_all(c, F.lit(f"(?s){pattern}|(?:(?!{pattern}).)+"), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(f"(?s){pattern}|(?:(?!{pattern}).)+"), F.lit(0))
 
-    def stripped(run: Column, i: Column) -> Column:
-        return F.when((F.get(runs, i + 1) == MASK) & ~run.isin(*specials), T.rstrip(run)).otherwise(run)
+    def stripped(runs: Column) -> Column:
+        return F.transform(runs, lambda run, i: F.when((F.get(runs, i + 1) == MASK) & ~run.isin(*specials), T.rstrip(run)).otherwise(run))
 
-    return F.filter(F.transform(runs, stripped), lambda x: x != "")
+    return F.filter(let(found, stripped), lambda x: x != "")
 
 
 def pre_tokens(c: Column) -> Column:
@@ -149,7 +150,7 @@ def model(vocab: DataFrame, merges: DataFrame, unk: str | None = None, fuse_unk:
 
 
 def merged_ids(words: Column, encode: Callable[[str], list[int]]) -> Column:
-    """Ids of an array of words, in order; each task encodes a word once while it remembers it."""
+    """Ids of an array of words, in order, null if one is negative; each task encodes a word once while it remembers it."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -165,7 +166,7 @@ def merged_ids(words: Column, encode: Callable[[str], list[int]]) -> Column:
                 if w not in memory:
                     memory[w] = encode(w)
                 out += memory[w]
-            return out
+            return None if out and min(out) < 0 else out
 
         for series in batches:
             yield pd.Series([of(x) for x in series], dtype=object)
@@ -195,5 +196,4 @@ def tokenize(docs: DataFrame, bpe: Bpe, specials: dict[str, int] | None = None,
         return F.when(run.isin(*whole), F.array(F.concat(F.lit("\x00"), run))).otherwise(pieces) if whole else pieces
 
     runs = special_split(F.col(text), tuple(whole)) if whole else F.array(text)
-    out = docs.withColumn("ids", merged_ids(F.flatten(F.transform(runs, parts)), encode))
-    return out.withColumn("ids", F.when(~F.exists("ids", lambda x: x < 0), F.col("ids")))
+    return docs.withColumn("ids", merged_ids(F.flatten(F.transform(runs, parts)), encode))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +23,17 @@ def mean(v: Column) -> Column:
     return total(v) / F.size(v)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once per row also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def layer_norm(v: Column, eps: float = 1e-12) -> Column:
     """(x - mean) / sqrt(population variance + eps)."""
-    return F.get(F.transform(F.array(mean(v)), lambda m: F.transform(v, lambda x: (x - m) / F.sqrt(total(F.transform(v, lambda y: (y - m) * (y - m))) / F.size(v) + eps))), F.lit(0))
+    def scaled(spread: Column) -> Column:
+        return let(F.sqrt(dot(spread, spread) / F.size(spread) + eps), lambda sd: F.transform(spread, lambda x: x / sd))
+
+    return let(mean(v), lambda m: let(F.transform(v, lambda x: x - m), scaled))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -35,8 +45,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    def shares(e: Column) -> Column:
+        return let(total(e), lambda t: F.transform(e, lambda x: x / t))
+
+    return let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), shares))
 
 
 def gelu(x: Column) -> Column:
