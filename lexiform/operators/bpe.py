@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
-from lexiform.operators.tensor import let
 
 # Bytes that stand for themselves; every other byte is, in order, a character from U+0100 on.
 PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
@@ -54,12 +53,9 @@ def byte_decode(c: Column) -> Column:
 def special_split(c: Column, specials: tuple[str, ...] = SPECIALS) -> Column:
     """Special tokens and the runs between them; a run before the mask loses its blanks at the end."""
     pattern = "|".join(specials)
-    found = F.regexp_extract_all(c, F.lit(f"(?s){pattern}|(?:(?!{pattern}).)+"), F.lit(0))
-
-    def stripped(runs: Column) -> Column:
-        return F.transform(runs, lambda run, i: F.when((F.get(runs, i + 1) == MASK) & ~run.isin(*specials), T.rstrip(run)).otherwise(run))
-
-    return F.filter(let(found, stripped), lambda x: x != "")
+    if MASK in specials:
+        c = F.regexp_replace(c, rf"(?<![{T.BLANK}])[{T.BLANK}]++(?={MASK})", "")
+    return F.regexp_extract_all(c, F.lit(f"(?s){pattern}|(?:(?!{pattern}).)+"), F.lit(0))
 
 
 def pre_tokens(c: Column) -> Column:
