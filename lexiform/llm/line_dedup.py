@@ -14,7 +14,7 @@ What is shuffled is a row of hashes for each chunk, and once the texts of docume
 Defined cases: a null text stays null and an empty one empty; a chunk that repeats in one document goes there too;
 rows that agree in doc_id and text are one document to each other (all keep what the first keeps); a null doc_id comes
 after all others; a document may end empty, its row stays; an empty table gives an empty result; other columns, under
-whatever name, pass through deduplicate().
+whatever name, pass through deduplicate(), but for removed_lines, which is replaced.
 """
 
 from __future__ import annotations
@@ -181,10 +181,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     cuts = written(repeated_spans(docs), "line-cuts")
     n = cuts.count()
     right = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("row_hash").alias("_cut_hash"), F.col("cuts").alias("_cuts"))
-    joined = docs.join(maybe_broadcast(right, n), docs.doc_id.cast("long").eqNullSafe(F.col("_cut_id")) & (_row_hash(docs) == F.col("_cut_hash")), "left")
-    done = _without(docs.text, F.col("_cuts"))
-    joined = joined.withColumn("_done", done)
-    out = [F.col("_done.text").alias(c) if c == "text" else docs[c] for c in docs.columns]
+    # Other columns travel in one struct, so no name of theirs can meet one of this join.
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "removed_lines")]
+    rows = docs.select("doc_id", "text", *([F.struct(*[docs[c] for c in rest]).alias("_row")] if rest else []))
+    joined = rows.join(maybe_broadcast(right, n), rows.doc_id.cast("long").eqNullSafe(F.col("_cut_id")) & (_row_hash(rows) == F.col("_cut_hash")), "left")
+    joined = joined.withColumn("_done", _without(rows.text, F.col("_cuts")))
+    out = [F.col("_done.text").alias(c) if c == "text" else F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in docs.columns if c != "removed_lines"]
     return joined.select(*out, F.col("_done.removed").alias("removed_lines"))
 
 
