@@ -5,11 +5,12 @@ residue, so boundaries depend on the lines around them alone and come back where
 line of passage length (MIN_WORDS) is a chunk by itself. Of a chunk of MIN_LINES lines or more (or such a line) the
 first occurrence in the corpus, by doc_id and place, stays; others go after their bytes have been compared with those
 of the first. Where a passage begins or ends inside a chunk, the lines beside a repeated chunk are compared with those
-beside its first occurrence, up to REACH lines each way by
-128-bit digests, and go too as far as they are equal. A line that goes is
-always equal to one at an earlier place, so the earliest copy of everything stays.
+beside its first occurrence, up to REACH lines each way by 128-bit digests, and go too as far as they are equal. Lines
+of SEED_WORDS or more are looked up as well, wherever chunks begin and end, but go only in a run of equal lines of
+MIN_WORDS words, so a passage of that length with such a line needs no boundary inside. A line that goes is always
+equal to one at an earlier place, so the earliest copy of everything stays.
 
-What is shuffled is a row of hashes for each chunk, and once the texts of documents that hold repeated chunks.
+What is shuffled is a row of hashes for each chunk and such line, and once the texts of documents that hold repeated chunks.
 
 Defined cases: a null text stays null and an empty one empty; a chunk that repeats in one document goes there too;
 rows that agree in doc_id and text are one document to each other (all keep what the first keeps); a null doc_id comes
@@ -37,16 +38,20 @@ DIVISOR = 3
 WINDOW = 2
 MIN_LINES = 2
 MIN_WORDS = 50
-#: Lines beside a repeated chunk that are compared; chunks have DIVISOR lines on average.
+#: Words of a line that is looked up by itself, too, though it goes only in a run of MIN_WORDS.
+SEED_WORDS = 12
+#: Lines beside a repeated chunk, or beside such a line, that are compared; chunks have DIVISOR lines on average.
 REACH = 16
-#: Bytes of the digest by which those lines are compared.
-MARK = 16
+SEED_REACH = 8
+#: Bytes of the digest by which those lines are compared, and of their number of words.
+DIGEST = 16
+MARK = DIGEST + 1
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
 def chunk_spans(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int, int]]:
-    """(first line, line behind the last, hash of the lines) of the chunks that may be removed."""
+    """(first line, line behind the last, hash of the lines) of the chunks that may be removed, and of lines of SEED_WORDS."""
     lines = text.split("\n")
     hashes = [xxh64_intdigest(x.encode()) for x in lines]
     out = []
@@ -58,7 +63,7 @@ def chunk_spans(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list
             rolling = (rolling - hashes[i - window] * lead) & _MASK
         ends = (rolling ^ rolling >> 31) % divisor == 0
         # A line of passage length is a chunk by itself, so its neighbours can't hide it.
-        long_line = lines[i].count(" ") + 1 >= MIN_WORDS
+        long_line = _words(lines[i]) >= MIN_WORDS
         if long_line and start < i:
             out.append((start, i))
             start = i
@@ -66,15 +71,19 @@ def chunk_spans(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list
             out.append((start, i + 1))
             start = i + 1
     kept = []
-    for a, b in out:
-        if (b - a >= MIN_LINES or lines[a].count(" ") + 1 >= MIN_WORDS) and any(x.strip() for x in lines[a:b]):
-            joined = 0
-            for h in hashes[a:b]:
-                joined = (joined * _ODD + h + 1) & _MASK
-            kept.append((a, b, joined - (1 << 64) if joined >> 63 else joined))
+    chunked = [(a, b) for a, b in out if (b - a >= MIN_LINES or _words(lines[a]) >= MIN_WORDS) and any(x.strip() for x in lines[a:b])]
+    for a, b in chunked + [(i, i + 1) for i, x in enumerate(lines) if SEED_WORDS <= _words(x) < MIN_WORDS and x.strip()]:
+        joined = 0
+        for h in hashes[a:b]:
+            joined = (joined * _ODD + h + 1) & _MASK
+        kept.append((a, b, joined - (1 << 64) if joined >> 63 else joined))
     return kept
 
 
+def _words(line: str) -> int:
+    return line.count(" ") + 1
+
+
 def _key(text: str) -> int:
     """As _row_hash."""
     return int(np.uint64(xxh64_intdigest(text.encode(), 42)).astype(np.int64))
@@ -125,28 +134,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for doc_id, key, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row_hash", "text", "spans")], strict=True):
                 lines = text.split("\n")
+                # A line needs no comparison of its own inside a chunk that is compared.
+                inside = {i for s in spans if s["behind"] - s["first"] > 1 and not s["is_first"] for i in range(s["first"], s["behind"])}
                 for s in spans:
                     a, b = s["first"], s["behind"]
-                    out.append((doc_id, key, a, b, s["hash"], s["is_first"], "\n".join(lines[a:b]), _marks(lines[max(0, a - REACH) : a][::-1]), _marks(lines[b : b + REACH])))
+                    need = MIN_WORDS - _words(lines[a]) if b - a == 1 else 0
+                    if need > 0 and not s["is_first"] and a in inside:
+                        continue
+                    n = SEED_REACH if need > 0 else REACH
+                    out.append((doc_id, key, a, b, s["hash"], s["is_first"], max(need, 0), "\n".join(lines[a:b]), _marks(lines[max(0, a - n) : a][::-1]), _marks(lines[b : b + n])))
             yield _batch(out, _BODY)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, key, a, b, head, tail, head0, tail0 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out.append((doc_id, key, a - _equal(head, head0), b + _equal(tail, tail0)))
+            for doc_id, key, a, b, need, head, tail, head0, tail0 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                (before, words), (after, more) = _equal(head, head0), _equal(tail, tail0)
+                if words + more >= need:
+                    out.append((doc_id, key, a - before, b + after))
             yield _batch(out, _GONE)
 
     bodies = written(joined.mapInArrow(cut, _ddl(_BODY)), "line-bodies")
     kept = bodies.where("is_first").groupBy("hash").agg(F.min(F.struct("body", "head", "tail")).alias("kept"))
     gone = bodies.where("not is_first").join(kept, "hash").where("body = kept.body")
-    gone = gone.select("doc_id", "row_hash", "first", "behind", "head", "tail", F.col("kept.head").alias("head0"), F.col("kept.tail").alias("tail0"))
+    gone = gone.select("doc_id", "row_hash", "first", "behind", "need", "head", "tail", F.col("kept.head").alias("head0"), F.col("kept.tail").alias("tail0"))
     gone = gone.mapInArrow(compare, _ddl(_GONE))
     return gone.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("first", "behind")).alias("cuts"))
 
 
 _GONE = {"doc_id": pa.int64(), "row_hash": pa.int64(), "first": pa.int32(), "behind": pa.int32()}
-_BODY = _GONE | {"hash": pa.int64(), "is_first": pa.bool_(), "body": pa.string(), "head": pa.binary(), "tail": pa.binary()}
+_BODY = _GONE | {"hash": pa.int64(), "is_first": pa.bool_(), "need": pa.int32(), "body": pa.string(), "head": pa.binary(), "tail": pa.binary()}
 _SQL_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.string(): "string", pa.binary(): "binary"}
 
 
@@ -160,16 +177,17 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def _marks(lines: list[str]) -> bytes:
-    """MARK bytes of cryptographic digest for each line."""
-    return b"".join(blake2b(x.encode(), digest_size=MARK).digest() for x in lines)
+    """For each line DIGEST bytes of a cryptographic digest and its number of words, at most 255."""
+    return b"".join(blake2b(x.encode(), digest_size=DIGEST).digest() + bytes([min(255, _words(x))]) for x in lines)
 
 
-def _equal(a: bytes, b: bytes) -> int:
-    """Lines that two runs of marks share from their start."""
-    n = 0
+def _equal(a: bytes, b: bytes) -> tuple[int, int]:
+    """Lines that two runs of marks share from their start, and the words of these."""
+    n = words = 0
     while n + MARK <= min(len(a), len(b)) and a[n : n + MARK] == b[n : n + MARK]:
         n += MARK
-    return n // MARK
+        words += a[n - 1]
+    return n // MARK, words
 
 
 def _row_hash(docs: DataFrame):

@@ -112,6 +112,23 @@ def test_word_hashes_tell_words_and_texts_apart():
     assert hashes[0] == hashes[2] and hashes[1] == hashes[3] and len(set(hashes.tolist())) == 3
 
 
+def test_line_dedup_finds_passages_of_fifty_words_wherever_chunks_end(spark):
+    rng = random.Random(5)
+
+    def line(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    passages = [[line(n) for n in sizes] for sizes in ([30, 25], [12, 20, 20], [60], [3, 14, 3, 33], [25, 25])]
+    short = [line(15)]  # a frequent line alone is no passage
+    own = {i: ([line(rng.randrange(1, 20)) for _ in range(4)], [line(rng.randrange(1, 20)) for _ in range(4)]) for i in range(60)}
+    docs = [(i, "\n".join(a + passages[i % 5] + b)) for i, (a, b) in own.items()]
+    docs += [(1000 + i, "\n".join([line(9), short[0], line(9)])) for i in range(20)]
+    out = {r.doc_id: r.text for r in line_dedup.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        expected = text if i < 5 or i >= 1000 else "\n".join(own[i][0] + own[i][1])
+        assert out[i] == expected
+
+
 def test_line_dedup_keeps_the_first_copy(spark):
     passage = "\n".join(f"line {i} of a passage that comes back" for i in range(12))
     long_line = " ".join(f"w{i}" for i in range(60))
