@@ -44,6 +44,11 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def distance(a: Column, b: Column) -> Column:
+    """The Euclidean distance of two vectors; null if their lengths differ."""
+    return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+
+
 def softmax(v: Column) -> Column:
     def shares(e: Column) -> Column:
         return let(total(e), lambda t: F.transform(e, lambda x: x / t))

@@ -3,11 +3,19 @@
 Each distinct word is matched once: its substrings meet the vocabulary in a hash join, the longest at each start is
 kept, and a fold follows the chain. Words that repeat in a third of all texts cost a row. A word's remainder without a
 match becomes the unknown id after the pieces matched so far.
+
+That is the contract. ReferenceWalk keeps two defects of an older tokenizer instead, for results that must equal its:
+letters between the longest piece and the end of the walk are lost, and a word after an unknown remainder may begin
+with an inner piece. So a word's ids depend on the words before it, and each text is walked by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
@@ -57,8 +65,71 @@ def greedy_pieces(words: DataFrame, vocab: DataFrame, unk_id: int) -> DataFrame:
     return joined.select("word", chain.alias("ids"))
 
 
-def tokenize(docs: DataFrame, vocab: DataFrame, unk_id: int, key: str = "doc_id") -> DataFrame:
-    """(key, pos, token_id) of all texts, special tokens whole."""
+class ReferenceWalk:
+    """Ids of a text's words by one walk through a tree of all tokens' letters, with its defects."""
+
+    def __init__(self, ids: dict[str, int], unk_id: int):
+        self.start: dict = {}
+        self.unk_id = unk_id
+        for token, i in ids.items():
+            node = self.start
+            for letter in token:
+                node = node.setdefault(letter, {})
+            node[""] = i
+        self.inner: dict = self.start
+        for letter in INNER:
+            self.inner = self.inner.get(letter, {})
+
+    def ids(self, words: list[str]) -> list[int]:
+        out, begin = [], self.start
+        for word in words:
+            at = 0
+            while at < len(word):
+                node, found = begin, None
+                while at < len(word) and word[at] in node:
+                    node = node[word[at]]
+                    at += 1
+                    found = node.get("", found)
+                if found is None:
+                    out.append(self.unk_id)
+                    break
+                out.append(found)
+                begin = self.inner if at < len(word) else self.start
+        return out
+
+
+def reference_ids(words: Column, walk: ReferenceWalk) -> Column:
+    """ReferenceWalk over arrays of words, in Arrow batches; a null array gives null."""
+
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield pd.Series([None if x is None else walk.ids(list(x)) for x in series], dtype=object)
+
+    return ids(words)
+
+
+def add_tokens(vocab: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, rejected): (token, id) with the new tokens (pos, token) behind it in order, and those it held already.
+
+    Of a token that comes twice, the first is added. Ids go on from the largest; the window orders one vocabulary's rows.
+    """
+    last = vocab.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last")).first()["last"]
+    nth = F.row_number().over(W.partitionBy("token").orderBy("pos"))
+    asked = tokens.join(vocab.select("token", F.lit(True).alias("held")), "token", "left").withColumn("nth", nth)
+    new = F.col("held").isNull() & (F.col("nth") == 1)
+    added = asked.where(new).select("token", (F.row_number().over(W.orderBy("pos")) + last).cast("int").alias("id"))
+    return vocab.select("token", F.col("id").cast("int").alias("id")).union(added), asked.where(~new).select("pos", "token")
+
+
+def tokenize(docs: DataFrame, vocab: DataFrame, unk_id: int, key: str = "doc_id", compat: str = "contract") -> DataFrame:
+    """(key, pos, token_id) of all texts, special tokens whole; compat="reference" takes ReferenceWalk."""
+    if compat == "reference":
+        # One model's vocabulary: small enough for every task.
+        walk = ReferenceWalk({r["token"]: r["id"] for r in vocab.select("token", "id").collect()}, unk_id)
+        return docs.select(key, F.posexplode(reference_ids(basic_words(F.col("text")), walk)).alias("pos", "token_id"))
+    if compat != "contract":
+        raise ValueError(f"unknown compat {compat}")
     words = docs.select(key, F.posexplode(basic_words(F.col("text"))).alias("pos", "word"))
     whole = vocab.where(F.col("token").isin(*SPECIALS)).select(F.col("token").alias("word"), F.array(F.col("id").cast("int")).alias("ids"))
     pieces = greedy_pieces(words.where(~F.col("word").isin(*SPECIALS)), vocab, unk_id).union(whole)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
 from lexiform.operators import bpe, encoder, tensor, wordpiece
-from lexiform.sources import container
+from lexiform.sources import container, importer, types
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -244,6 +244,51 @@ def fill_mask(spark: SparkSession, d: str) -> DataFrame:
     return encoder.fill_mask(_masked(spark, d), encoder.synthetic(32), 3, 3).select("doc_id", "error", "rank", "token_id", F.round("prob", 6).alias("prob"))
 
 
+def file_types(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by the file type whose number their quantity is modulo 19."""
+    names = _t(spark, d, "lineitem").select(types.file_type_name((F.col("l_quantity").cast("int") % 19)).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n"))
+
+
+def parse_types(spark: SparkSession, d: str) -> DataFrame:
+    """Tensor types of nations' keys, and of names made of them."""
+    texts = F.explode(F.array(F.col("n_nationkey").cast("string"), F.concat(F.lit("q"), F.expr("n_nationkey div 2").cast("string"), F.lit("_"), (F.col("n_nationkey") % 2).cast("string"))))
+    asked = _t(spark, d, "nation").select("n_nationkey", texts.alias("asked"))
+    return asked.select("n_nationkey", "asked", types.parse_type(F.col("asked")).alias("type"))
+
+
+def type_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Declared bytes of all vectors in each tensor type."""
+    values = _vectors(spark, d).agg(F.sum(F.size("v")).cast("long").alias("n"))
+    kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(n).alias("name"), F.lit(x).alias("bits")) for t, n, x in types.CATALOGUE])
+    each = values.select("n", F.inline(kinds))
+    return each.select("type", "name", F.round(F.col("n") * F.col("bits") / 8, 3).alias("bytes"))
+
+
+def add_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as a vocabulary that regions, and nations of region 1 once more, are added to."""
+    nations, regions = _t(spark, d, "nation"), _t(spark, d, "region")
+    again = nations.where("n_regionkey = 1").select((F.col("n_nationkey") + 100).alias("pos"), F.col("n_name").alias("token"))
+    new = regions.select(F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("token")).union(again.select(F.col("pos").cast("long"), "token"))
+    vocab = nations.select(F.col("n_name").alias("token"), F.col("n_nationkey").cast("int").alias("id"))
+    return wordpiece.add_tokens(vocab, new)[0]
+
+
+def merge_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Merges of a supplier's nation and the nation of its own key, ranked by that key."""
+    nations = _t(spark, d, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").alias("id"))
+    pairs = _t(spark, d, "supplier").select((F.col("s_suppkey") % 25).alias("right_key"), F.col("s_nationkey").alias("left_key"), F.col("s_suppkey").alias("rank"))
+    for side in ("left", "right"):
+        pairs = pairs.join(F.broadcast(nations.select(F.col("id").alias(f"{side}_key"), F.col("token").alias(side))), f"{side}_key")
+    return importer.merge_triples(pairs.select("left", "right", "rank"), nations)
+
+
+def vector_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's distance from its reverse, and whether it is below 0.1."""
+    x = _vectors(spark, d).select("vec_id", tensor.distance(F.col("v"), F.reverse("v")).alias("x"))
+    return x.select("vec_id", F.round("x", 6).alias("distance"), (F.col("x") < 0.1).alias("near"))
+
+
 #: Queries of a whole model, which SQL can't express in reason; tests compare the model with plain loops.
 UNPAIRED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"encode_texts": encode_texts, "fill_mask": fill_mask}
 
@@ -326,4 +371,21 @@ SELECT role, coalesce(stored, (SELECT id FROM v WHERE token = a), (SELECT id FRO
         _E + """, s AS (SELECT a.vec_id, a.dim // 8 AS query, b.dim // 8 AS key, exp(sum(a.x * b.x) / sqrt(8e0)) AS s FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.dim % 8 = b.dim % 8 GROUP BY ALL)
 SELECT vec_id, query::INT AS query, key::INT AS key, round(s / sum(s) OVER (PARTITION BY vec_id, query), 6) AS p FROM s""",
     ),
+    "file_types": (
+        file_types,
+        "WITH t AS (SELECT ['" + "', '".join(types.FILE_TYPES) + "'] AS names) SELECT names[l_quantity::INT % 19 + 1] AS name, count(*) AS n FROM lineitem, t GROUP BY 1",
+    ),
+    "parse_types": (
+        parse_types,
+        f"""WITH c(type, name, bits) AS (VALUES {", ".join(map(str, types.CATALOGUE))}), a AS (SELECT n_nationkey, unnest([n_nationkey::VARCHAR, 'q' || (n_nationkey // 2) || '_' || (n_nationkey % 2)]) AS asked FROM nation)
+SELECT n_nationkey, asked, type::INT AS type FROM a LEFT JOIN c ON asked = type::VARCHAR OR upper(asked) = name""",
+    ),
+    "type_sizes": (type_sizes, f"WITH c(type, name, bits) AS (VALUES {', '.join(map(str, types.CATALOGUE))}), v AS (SELECT sum(len(embedding))::DOUBLE AS n FROM embeddings) SELECT type::INT AS type, name, round(n * bits::DOUBLE / 8, 3) AS bytes FROM c, v"),
+    "add_tokens": (
+        add_tokens,
+        """SELECT n_name AS token, n_nationkey::INT AS id FROM nation UNION ALL
+SELECT r_name, (row_number() OVER (ORDER BY r_regionkey) + (SELECT max(n_nationkey) FROM nation))::INT FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)""",
+    ),
+    "merge_triples": (merge_triples, "SELECT s_nationkey::INT AS left_id, (s_suppkey % 25)::INT AS right_id, s_suppkey::INT AS rank FROM supplier"),
+    "vector_distance": (vector_distance, _E + ", r AS (SELECT vec_id, sqrt(sum((x - y) * (x - y))) AS x FROM (SELECT a.vec_id, a.x, b.x AS y FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.dim + b.dim = (SELECT max(dim) FROM e)) GROUP BY 1) SELECT vec_id, round(x, 6) AS distance, x < 0.1 AS near FROM r"),
 }

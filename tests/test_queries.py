@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     query, sql = PAIRS[name]
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "part", "nation", "conversations"):
+    for t in ("documents", "embeddings", "part", "nation", "conversations", "region", "supplier", "lineitem"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = query(spark, DATA), con.sql(sql)
     cols = sorted(want.columns)
