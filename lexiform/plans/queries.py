@@ -23,7 +23,9 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
     """(token, n, id): words of two documents or more; ids are ranks, dealt over lengths so that no sort is global."""
-    held = _words(spark, d).groupBy(F.col("word").alias("token")).agg(F.countDistinct("doc_id").alias("n")).where("n >= 2")
+    # doc_id is a key: distinct words of a row, counted on the map side, are as good as distinct pairs and cost one shuffle.
+    words = F.array_distinct(T.split_spaces(T.clean_text(F.col("text"))))
+    held = _t(spark, d, "documents").where("doc_id is not null").select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n >= 2")
     return held.withColumn("id", F.row_number().over(W.partitionBy(F.length("token")).orderBy(F.desc("n"), "token")).cast("int"))
 
 
