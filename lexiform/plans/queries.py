@@ -229,21 +229,38 @@ def attention_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of 5 to 510 words as ids (a word's length, at most 28), 1 before, 2 after, the third word a mask (3)."""
+    """All texts as ids (a word's length, at most 28), 1 before, 2 after, the third word a mask (3); null texts have null ids."""
     ids = F.transform(T.split_spaces(T.clean_text(F.col("text"))), lambda w, i: F.when(i == 2, 3).otherwise(F.least(F.length(w) + 3, F.lit(31))))
-    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit(1)), ids, F.array(F.lit(2))).alias("ids"))
-    return docs.where(F.size("ids").between(7, 512))
+    return _t(spark, d, "documents").select("doc_id", F.concat(F.array(F.lit(1)), ids, F.array(F.lit(2))).alias("ids"))
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    return encoder.encode(_masked(spark, d), encoder.synthetic(32), "cls")
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    return encoder.fill_mask(_masked(spark, d), encoder.synthetic(32), 3, 3)
 
 
 def encode_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Pooled vectors of a small model with closed-form weights."""
-    out = encoder.encode(_masked(spark, d), encoder.synthetic(32), "cls")
+    """Pooled vectors of a small model with closed-form weights, of every text that it can take; the others are in encode_texts_rejected."""
+    out = _encoded(spark, d).where("error is null")
     return out.select("doc_id", "error", F.transform(F.element_at("vectors", 1), lambda x: F.round(x, 5)).alias("vector"))
 
 
+def encode_texts_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that have no row in encode_texts, and why."""
+    return _encoded(spark, d).where("error is not null").select("doc_id", "error")
+
+
 def fill_mask(spark: SparkSession, d: str) -> DataFrame:
-    """The three likeliest tokens at each text's mask, by that model."""
-    return encoder.fill_mask(_masked(spark, d), encoder.synthetic(32), 3, 3).select("doc_id", "error", "rank", "token_id", F.round("prob", 6).alias("prob"))
+    """The three likeliest tokens at each text's mask, by that model; texts that it can't take or without a mask are in fill_mask_rejected."""
+    return _filled(spark, d).where("error is null").select("doc_id", "error", "rank", "token_id", F.round("prob", 6).alias("prob"))
+
+
+def fill_mask_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that have no row in fill_mask, and why."""
+    return _filled(spark, d).where("error is not null").select("doc_id", "error")
 
 
 def file_types(spark: SparkSession, d: str) -> DataFrame:
@@ -293,6 +310,8 @@ def vector_distance(spark: SparkSession, d: str) -> DataFrame:
 
 #: Queries of a whole model, which SQL can't express in reason; tests compare the model with plain loops.
 UNPAIRED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"encode_texts": encode_texts, "fill_mask": fill_mask}
+#: What these leave out, with an error for each document.
+REJECTED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"encode_texts_rejected": encode_texts_rejected, "fill_mask_rejected": fill_mask_rejected}
 
 _W = r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{0000}\x{FFFD}]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g') AS clean FROM documents),
 s AS (SELECT doc_id, list_filter(string_split(clean, ' '), lambda x: x <> '') AS ws FROM c),
