@@ -1,35 +1,36 @@
-"""Removal of multi-line chunks that repeat anywhere in the corpus.
+"""Removal of passages of whole lines that repeat anywhere in the corpus.
 
-Lines are hashed; a rolling hash over the hashes of ``window`` neighbouring lines ends a chunk where it falls on a
+Lines are hashed; a rolling hash over the hashes of ``WINDOW`` neighbouring lines ends a chunk where it falls on a
 residue, so boundaries depend on the lines around them alone and come back wherever a passage does, shifted or not. A
-line of passage length (MIN_WORDS) is a chunk by itself. Of a chunk of MIN_LINES lines or more (or such a line) the
-first occurrence in the corpus, by doc_id and place, stays; others go after their bytes have been compared with those
-of the first. Where a passage begins or ends inside a chunk, the lines beside a repeated chunk are compared with those
-beside its first occurrence, up to REACH lines each way by 128-bit digests, and go too as far as they are equal. Lines
-of SEED_WORDS or more are looked up as well, wherever chunks begin and end, but go only in a run of equal lines of
-MIN_WORDS words, so a passage of that length with such a line needs no boundary inside. A line that goes is always
-equal to one at an earlier place, so the earliest copy of everything stays.
-
-What is shuffled is a row of hashes for each chunk and such line, and once the texts of documents that hold repeated chunks.
-
-Defined cases: a null text stays null and an empty one empty; a chunk that repeats in one document goes there too;
-rows that agree in doc_id and text are one document to each other (all keep what the first keeps); a null doc_id comes
-after all others; a document may end empty, its row stays; an empty table gives an empty result; other columns, under
-whatever name, pass through deduplicate(), but for removed_lines, which is replaced.
+line of passage length (MIN_WORDS) is a chunk by itself; other chunks count from MIN_LINES lines on. Boundaries by
+chance may all miss a short passage, so the shortest run of lines of MIN_WORDS words that begins at each line, and the
+shortest that ends there, are chunks as well: any passage of that length, whatever its lines and wherever it stands, is
+the union of such runs. Of each chunk the first occurrence in the corpus, by doc_id and place, stays; others go after
+their bytes have been compared with its own. Chunks that continue one another in both places are compared as one
+stretch, so no line is carried twice. No number of lines, words or copies bounds what is found.
+
+What is shuffled is a narrow row of hashes for each chunk, and once the stretches that repeat, combined where they are
+read; so a stretch that a third of all documents hold is one row from each task. Documents are joined with their
+stretches, which is a shuffle of texts where these are many.
+
+Defined cases: a null text stays null and an empty one empty; words lie between ASCII blanks; a chunk that repeats in one
+document goes there too, and where it overlaps its first occurrence, its lines behind that; rows that agree in doc_id
+and text are one document to each other (all keep what the first keeps); a null doc_id comes after all others; a
+document may end empty, its row stays; stretches of equal hash and other bytes stay; an empty table gives an empty
+result; other columns, under whatever name, pass through deduplicate(), but for removed_lines, which is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from lexiform.llm.common import maybe_broadcast, table, written
 
@@ -38,132 +39,19 @@ DIVISOR = 3
 WINDOW = 2
 MIN_LINES = 2
 MIN_WORDS = 50
-#: Words of a line that is looked up by itself, too, though it goes only in a run of MIN_WORDS.
-SEED_WORDS = 12
-#: Lines beside a repeated chunk, or beside such a line, that are compared; chunks have DIVISOR lines on average.
-REACH = 16
-SEED_REACH = 8
-#: Bytes of the digest by which those lines are compared, and of their number of words.
-DIGEST = 16
-MARK = DIGEST + 1
-_ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-def chunk_spans(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int, int]]:
-    """(first line, line behind the last, hash of the lines) of the chunks that may be removed, and of lines of SEED_WORDS."""
-    lines = text.split("\n")
-    hashes = [xxh64_intdigest(x.encode()) for x in lines]
-    out = []
-    start, rolling = 0, 0
-    lead = pow(_ODD, window, 1 << 64)
-    for i, h in enumerate(hashes):
-        rolling = (rolling * _ODD + h) & _MASK
-        if i >= window:
-            rolling = (rolling - hashes[i - window] * lead) & _MASK
-        ends = (rolling ^ rolling >> 31) % divisor == 0
-        # A line of passage length is a chunk by itself, so its neighbours can't hide it.
-        long_line = _words(lines[i]) >= MIN_WORDS
-        if long_line and start < i:
-            out.append((start, i))
-            start = i
-        if ends or long_line or i + 1 == len(lines):
-            out.append((start, i + 1))
-            start = i + 1
-    kept = []
-    chunked = [(a, b) for a, b in out if (b - a >= MIN_LINES or _words(lines[a]) >= MIN_WORDS) and any(x.strip() for x in lines[a:b])]
-    for a, b in chunked + [(i, i + 1) for i, x in enumerate(lines) if SEED_WORDS <= _words(x) < MIN_WORDS and x.strip()]:
-        joined = 0
-        for h in hashes[a:b]:
-            joined = (joined * _ODD + h + 1) & _MASK
-        kept.append((a, b, joined - (1 << 64) if joined >> 63 else joined))
-    return kept
-
-
-def _words(line: str) -> int:
-    return line.count(" ") + 1
-
-
-def _key(text: str) -> int:
-    """As _row_hash."""
-    return int(np.uint64(xxh64_intdigest(text.encode(), 42)).astype(np.int64))
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, first, behind, hash) of every chunk of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, firsts, behinds, hashes = [], [], [], [], []
-            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = t.as_py()
-                found = chunk_spans(text) if text else []
-                if found:
-                    key = _key(text)
-                    for a, b, h in found:
-                        ids.append(doc_id)
-                        keys.append(key)
-                        firsts.append(a)
-                        behinds.append(b)
-                        hashes.append(h)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(behinds, pa.int32()), pa.array(hashes, pa.int64())],
-                names=["doc_id", "row_hash", "first", "behind", "hash"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, row_hash long, first int, behind int, hash long")
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, cuts): the spans of lines to remove from each row, compared byte by byte."""
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash", "first")
-    found = written(chunks(docs).distinct(), "line-chunks")
-    first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("at")).where("n > 1").drop("n")
-    first = written(first, "line-firsts")
-    rows = first.count()
-    # A hash may occur in a third of all rows: the join is against one row for each hash and may be split.
-    held = written(found.join(maybe_broadcast(first, rows), "hash").withColumn("is_first", place == F.col("at")), "line-held")
-    # One row for each document that holds repeated chunks; its text is fetched once, for the comparison.
-    by_doc = held.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("first", "behind", "hash", "is_first")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text <> ''").withColumn("row_hash", _row_hash(docs))
-    same = texts.doc_id.eqNullSafe(by_doc.doc_id) & (texts.row_hash == by_doc.row_hash)
-    joined = texts.join(by_doc, same).select(texts.doc_id, texts.row_hash, "text", "spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, key, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row_hash", "text", "spans")], strict=True):
-                lines = text.split("\n")
-                # A line needs no comparison of its own inside a chunk that is compared.
-                inside = {i for s in spans if s["behind"] - s["first"] > 1 and not s["is_first"] for i in range(s["first"], s["behind"])}
-                for s in spans:
-                    a, b = s["first"], s["behind"]
-                    need = MIN_WORDS - _words(lines[a]) if b - a == 1 else 0
-                    if need > 0 and not s["is_first"] and a in inside:
-                        continue
-                    n = SEED_REACH if need > 0 else REACH
-                    out.append((doc_id, key, a, b, s["hash"], s["is_first"], max(need, 0), "\n".join(lines[a:b]), _marks(lines[max(0, a - n) : a][::-1]), _marks(lines[b : b + n])))
-            yield _batch(out, _BODY)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, key, a, b, need, head, tail, head0, tail0 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                (before, words), (after, more) = _equal(head, head0), _equal(tail, tail0)
-                if words + more >= need:
-                    out.append((doc_id, key, a - before, b + after))
-            yield _batch(out, _GONE)
-
-    bodies = written(joined.mapInArrow(cut, _ddl(_BODY)), "line-bodies")
-    kept = bodies.where("is_first").groupBy("hash").agg(F.min(F.struct("body", "head", "tail")).alias("kept"))
-    gone = bodies.where("not is_first").join(kept, "hash").where("body = kept.body")
-    gone = gone.select("doc_id", "row_hash", "first", "behind", "need", "head", "tail", F.col("kept.head").alias("head0"), F.col("kept.tail").alias("tail0"))
-    gone = gone.mapInArrow(compare, _ddl(_GONE))
-    return gone.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("first", "behind")).alias("cuts"))
-
-
-_GONE = {"doc_id": pa.int64(), "row_hash": pa.int64(), "first": pa.int32(), "behind": pa.int32()}
-_BODY = _GONE | {"hash": pa.int64(), "is_first": pa.bool_(), "need": pa.int32(), "body": pa.string(), "head": pa.binary(), "tail": pa.binary()}
+#: Bytes of texts whose lines are hashed at a time (one text at least).
+STEP_BYTES = 4 << 20
+#: Documents, and stretches in them, up to which these are broadcast to the texts.
+BROADCAST_DOCS = 50_000
+BROADCAST_SPANS = 400_000
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+_ID = {"doc_id": pa.int64(), "row_hash": pa.int64()}
+_SPAN = {"first": pa.int32(), "behind": pa.int32()}
+_FOUND = _ID | _SPAN | {"hash": pa.int64(), "check": pa.int64()}
+#: A stretch of a document, and the document and line where its first occurrence begins.
+_RUN = _ID | _SPAN | {"of_id": pa.int64(), "of_hash": pa.int64(), "of_first": pa.int32()}
+_KEY = ("of_id", "of_hash", "of_first", "length")
 _SQL_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.string(): "string", pa.binary(): "binary"}
 
 
@@ -176,51 +64,206 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _marks(lines: list[str]) -> bytes:
-    """For each line DIGEST bytes of a cryptographic digest and its number of words, at most 255."""
-    return b"".join(blake2b(x.encode(), digest_size=DIGEST).digest() + bytes([min(255, _words(x))]) for x in lines)
+def chunk_ends(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a chunk ends after each line; starts: the first line of each text, and the number of lines."""
+    rolling, lead = hashes.copy(), np.uint64(1)
+    for back in range(1, WINDOW):
+        lead = lead * np.uint64(_ODD[0])
+        earlier = np.concatenate((np.zeros(back, np.uint64), hashes[:-back]))[: len(hashes)]
+        for n in range(back):  # lines of the text before are not neighbours
+            at = starts[:-1] + n
+            earlier[at[at < starts[1:]]] = 0
+        rolling += earlier * lead
+    ends = (rolling ^ rolling >> np.uint64(31)) % np.uint64(DIVISOR) == 0
+    long_line = words >= MIN_WORDS
+    ends |= long_line
+    ends[:-1] |= long_line[1:]
+    ends[starts[1:] - 1] = True
+    return ends
+
+
+def chunk_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first line, line behind the last, hash, second hash) of the chunks of some texts."""
+    lines = [x for t in texts for x in t.split(b"\n")]
+    words = np.array([len(x.split()) for x in lines], np.int64)
+    hashes = np.array([xxh64_intdigest(x) for x in lines], np.uint64)
+    others = np.array([xxh3_64_intdigest(x) for x in lines], np.uint64)
+    starts = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
+    text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
+    read = np.concatenate(([0], np.cumsum(words)))
+
+    behind = np.flatnonzero(chunk_ends(hashes, words, starts)) + 1
+    first = np.concatenate(([0], behind[:-1]))
+    kept = (read[behind] > read[first]) & ((behind - first >= MIN_LINES) | (read[behind] - read[first] >= MIN_WORDS))
+    at = np.flatnonzero(words)
+    until = np.searchsorted(read, read[at] + MIN_WORDS, "left")
+    since = np.searchsorted(read, read[at + 1] - MIN_WORDS, "right") - 1
+    ahead, back = until <= starts[text_of[at] + 1], since >= starts[text_of[at]]
+    a = np.concatenate((first[kept], at[ahead], since[back]))
+    b = np.concatenate((behind[kept], until[ahead], at[back] + 1))
+    n = len(lines) + 1
+    spans = np.unique(a * n + b)
+    a, b = spans // n, spans % n
+
+    def joined(h: np.ndarray, odd: int) -> np.ndarray:
+        up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(h), x, np.uint64)), dtype=np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)))
+        return ((total[b] - total[a]) * down[a]).view(np.int64)
+
+    owner = text_of[a] if len(a) else a
+    return owner, a - starts[owner], b - starts[owner], joined(hashes, _ODD[0]), joined(others, _ODD[1])
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) in steps of STEP_BYTES; nulls as empty texts."""
+    first, part, size = 0, [], 0
+    for i, t in enumerate(texts):
+        raw = t.as_py() or b""
+        if part and size + len(raw) > STEP_BYTES:
+            yield first, part
+            first, part, size = i, [], 0
+        part.append(raw)
+        size += len(raw)
+    if part:
+        yield first, part
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text").where("text <> ''")
 
 
-def _equal(a: bytes, b: bytes) -> tuple[int, int]:
-    """Lines that two runs of marks share from their start, and the words of these."""
-    n = words = 0
-    while n + MARK <= min(len(a), len(b)) and a[n : n + MARK] == b[n : n + MARK]:
-        n += MARK
-        words += a[n - 1]
-    return n // MARK, words
+def chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, first, behind, hash, check) of every chunk of every row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, texts in _pieces(batch.column("text")):
+                owner, first, behind, hash_, check = chunk_spans(texts)
+                mine = pa.array(owner + i)
+                cols = [batch.column("doc_id").take(mine), batch.column("row_hash").take(mine), pa.array(first.astype(np.int32)), pa.array(behind.astype(np.int32)), pa.array(hash_), pa.array(check)]
+                yield pa.RecordBatch.from_arrays(cols, names=list(_FOUND))
+
+    return _rows(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, _ddl(_FOUND))
+
+
+def stretches(spans: list[dict], doc_id: int | None, row_hash: int) -> list[tuple]:
+    """(first, behind, of_id, of_hash, of_first) of the stretches that chunks (first, behind, of_id, of_hash, of_first) make up."""
+    by_line: dict[tuple, list[tuple[int, int]]] = {}
+    for s in spans:
+        first, behind, shift = s["first"], s["behind"], s["first"] - s["of_first"]
+        if (s["of_id"], s["of_hash"]) == (doc_id, row_hash):
+            first = max(first, behind - shift)  # lines that are not in the first occurrence themselves
+        by_line.setdefault((s["of_id"], s["of_hash"], shift), []).append((first, behind))
+    out = []
+    for (of_id, of_hash, shift), found in by_line.items():
+        found.sort()
+        first, behind = found[0]
+        for a, b in found[1:] + [(1 << 31, 0)]:
+            if a > behind:
+                out.append((first, behind, of_id, of_hash, first - shift))
+                first, behind = a, b
+            behind = max(behind, b)
+    return out
+
+
+def _by_doc(rows: DataFrame, *names: str) -> DataFrame:
+    """One row for each document, with the distinct others gathered, combined where they are read."""
+    return rows.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct(*names)).alias("spans"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df (doc_id, row_hash, spans), broadcast if it is small in rows and spans."""
+    rows, spans = df.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_DOCS and spans <= BROADCAST_SPANS else df
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, spans): the stretches of lines (first, behind) to remove from each row, compared byte by byte."""
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash", "first")
+    mark = F.xxhash64("doc_id", "row_hash", "first")
+    found = written(chunks(docs), "line-chunks")
+    first = found.groupBy("hash", "check").agg(F.min(place).alias("at"), F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi")
+    first = written(first.select("hash", "check", "at"), "line-firsts")
+    # A hash may occur in a third of all rows: the join is against one row for each hash and may be split.
+    again = found.join(maybe_broadcast(first, first.count()), ["hash", "check"]).where(place != F.col("at"))
+    again = again.select("doc_id", "row_hash", "first", "behind", F.col("at.doc_id").alias("of_id"), F.col("at.row_hash").alias("of_hash"), F.col("at.first").alias("of_first"))
 
-def _row_hash(docs: DataFrame):
-    return F.xxhash64(docs.text)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, row_hash, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row_hash", "spans")], strict=True):
+                out += [(doc_id, row_hash, *s) for s in stretches(spans, doc_id, row_hash)]
+            yield _batch(out, _RUN)
+
+    runs = _by_doc(again, "first", "behind", "of_id", "of_hash", "of_first").mapInArrow(merge, _ddl(_RUN))
+    runs = written(runs.withColumn("length", F.col("behind") - F.col("first")), "line-runs")
+    bad = written(_unequal(docs, runs), "line-unequal")
+    if not bad.isEmpty():
+        same = [runs[c].eqNullSafe(bad[c]) for c in _KEY]
+        runs = runs.join(bad, same[0] & same[1] & same[2] & same[3], "left_anti")
+    return _by_doc(runs, "first", "behind")
+
+
+def _unequal(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The first occurrences (of_id, of_hash, of_first, length) of which some stretch has other bytes."""
+    own = runs.select(F.col("of_id").alias("doc_id"), F.col("of_hash").alias("row_hash"), F.col("of_first").alias("first"), (F.col("of_first") + F.col("length")).alias("behind"), *_KEY)
+    asked = runs.select("doc_id", "row_hash", "first", "behind", *_KEY).union(own)
+    by_doc = written(_by_doc(asked, "first", "behind", *_KEY), "line-asked")
+    by_doc = _few(by_doc).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "spans")
+    texts = _rows(docs)
+    joined = texts.join(by_doc, texts.doc_id.eqNullSafe(F.col("_id")) & (texts.row_hash == F.col("_hash"))).select(F.col("text").cast("binary").alias("text"), "spans")
+    kinds = {k: v for k, v in _RUN.items() if k in _KEY} | {"length": pa.int32(), "body": pa.binary()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+                lines = text.as_py().split(b"\n")
+                for s in spans.as_py():
+                    out.append((*(s[k] for k in _KEY), b"\n".join(lines[s["first"] : s["behind"]])))
+                    size += len(out[-1][-1])
+                if size > STEP_BYTES:
+                    yield _batch(out, kinds)
+                    out, size = [], 0
+            yield _batch(out, kinds)
+
+    # Equal bytes have one smallest and largest value: a hot stretch is one row of each task.
+    bodies = joined.mapInArrow(cut, _ddl(kinds)).groupBy(*_KEY).agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
+    return bodies.where("lo <> hi").select(*_KEY)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks removed from text, and removed_lines (long) beside its columns."""
-    cuts = written(repeated_spans(docs), "line-cuts")
-    n = cuts.count()
-    right = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("row_hash").alias("_cut_hash"), F.col("cuts").alias("_cuts"))
+    """docs with repeated passages removed from text, and removed_lines (long) beside its columns."""
+    cuts = _few(written(repeated_spans(docs), "line-cuts"))
+    right = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("row_hash").alias("_cut_hash"), F.col("spans").alias("_cuts"))
     # Other columns travel in one struct, so no name of theirs can meet one of this join.
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "removed_lines")]
     rows = docs.select("doc_id", "text", *([F.struct(*[docs[c] for c in rest]).alias("_row")] if rest else []))
-    joined = rows.join(maybe_broadcast(right, n), rows.doc_id.cast("long").eqNullSafe(F.col("_cut_id")) & (_row_hash(rows) == F.col("_cut_hash")), "left")
+    joined = rows.join(right, rows.doc_id.cast("long").eqNullSafe(F.col("_cut_id")) & (F.xxhash64(rows.text) == F.col("_cut_hash")), "left")
     joined = joined.withColumn("_done", _without(rows.text, F.col("_cuts")))
     out = [F.col("_done.text").alias(c) if c == "text" else F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in docs.columns if c != "removed_lines"]
     return joined.select(*out, F.col("_done.removed").alias("removed_lines"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))
-def _without(text: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-    texts, removed = [], []
-    for t, spans in zip(text, cuts, strict=True):
-        n = 0
-        if spans is not None and len(spans):
-            lines = t.split("\n")
-            gone = {i for s in spans for i in range(s["first"], s["behind"])}
-            n = len(gone)
-            t = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        texts.append(t)
-        removed.append(n)
-    return pd.DataFrame({"text": texts, "removed": removed})
+def _without(text: Column, cuts: Column) -> Column:
+    """(text, removed) without the lines of the cuts."""
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))
+    def without(text: pd.Series, cuts: pd.Series) -> pd.DataFrame:
+        texts, removed = [], []
+        for t, spans in zip(text, cuts, strict=True):
+            n = 0
+            if spans is not None and len(spans):
+                lines = t.split("\n")
+                gone = {i for s in spans for i in range(s["first"], s["behind"])}
+                n = len(gone)
+                t = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+            texts.append(t)
+            removed.append(n)
+        return pd.DataFrame({"text": texts, "removed": removed})
+
+    return without(text, cuts)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
