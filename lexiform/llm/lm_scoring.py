@@ -5,11 +5,16 @@ would be known: S(w | context) is the count of context and w over that of the co
 BACKOFF times the score in a context shorter by one word; at one word, its count over all tokens; and for a word that
 no other document has, BACKOFF / (tokens of the others + 1). A document's score is the mean log10 of S over its tokens.
 
-Counting and scoring are a join partitioned by n-gram hash. Documents lie in batches; a batch asks each hash partition
-for its distinct n-grams (sorted 64-bit hashes with the batch's counts, packed column-wise in one row), the partition
-adds the counts of equal hashes over all batches and answers each batch in the same order, and the batch sums
-the scores of its documents. So an n-gram crosses the network once per batch that has it, however frequent it is: a
-word of every document is no hot key. Texts are shuffled once, into batches; both uses share that exchange.
+Counting and scoring are a join partitioned by n-gram hash, in packed rows: a row for each n-gram would take 13 bytes or
+so of shuffle each way and three of them for each token, many times the input. Documents lie in batches (a task's
+next texts, compressed into one row); a batch asks each hash partition for its distinct n-grams (sorted 64-bit hashes
+with the batch's counts, packed column-wise in one row), the partition sums the counts of equal hashes over all
+batches, which is its count table, and answers each batch in the same order; the batch joins the answers to its
+exploded n-grams and sums each document's scores. So an n-gram crosses the network once per batch that has it,
+however frequent it is: a word of every document is no hot key.
+
+Words and pairs are asked for together. A longer n-gram can stand in another document only if both n-grams one word
+shorter that it holds do, so of those only such are asked for, in a round for each length: the answers tell which.
 
 Words lie between ASCII blanks, A-Z lower-cased.
 
@@ -20,16 +25,22 @@ not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiform.llm.common import table
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-#: Bytes of text in a batch of documents, and for each hash partition, about.
+#: Bytes of text in a batch of documents (one text at least), and for each hash partition, about.
 BATCH_BYTES = 8 << 20
 #: Bytes of text whose words are hashed at a time.
 STEP_BYTES = 1 << 20
@@ -84,80 +95,186 @@ def ngram_hashes(words: np.ndarray, owners: np.ndarray, order: int) -> list[np.n
     return out
 
 
-def _planes(a: np.ndarray, width: int) -> bytes:
-    """Integers as byte planes: equal high bytes lie together and compress to nothing."""
-    return np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+def _packed(a: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: equal high bytes lie together."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+@dataclass
+class Level:
+    """Tokens in the order of their n-grams, and the distinct n-grams with their counts."""
+
+    order: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+
 
+def level(grams: np.ndarray, wanted: np.ndarray) -> Level:
+    at = np.flatnonzero(wanted)
+    order = at[np.argsort(grams[at], kind="stable")]  # tokens of a document stay together
+    sorted_ = grams[order]
+    starts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(order) else order
+    return Level(order, sorted_[starts], np.diff(np.append(starts, len(order))))
 
-def _unplanes(raw: bytes, width: int) -> np.ndarray:
-    n = len(raw) // width
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"<u{width}").reshape(n).astype(np.uint64)
+
+def others(found: Level, owners: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Of every token, how often its n-gram occurs in all other documents; 0 for tokens that are not of the level."""
+    own = owners[found.order]
+    new = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.empty(0, bool)
+    new[(np.cumsum(found.counts) - found.counts).astype(np.int64)] = True
+    runs = np.diff(np.append(np.flatnonzero(new), len(own)))
+    out = np.zeros(len(owners))
+    out[found.order] = np.repeat(totals.astype(np.float64), found.counts) - np.repeat(runs, runs)
+    return out
 
 
-def _distinct(batch: pd.DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """The batch's distinct n-gram hashes and counts, with the hash 0 for all tokens; and its tokens."""
-    texts = [t.encode() if isinstance(t, str) else b"" for t in batch["text"]]
-    words, owners = word_hashes(texts)
-    grams = ngram_hashes(words, owners, order)
-    flat = np.concatenate(grams)
-    keys, counts = np.unique(flat[flat != 0], return_counts=True)
-    return np.append(np.uint64(0), keys), np.append(len(words), counts).astype(np.uint64), grams, owners
+def _after(x: np.ndarray) -> np.ndarray:
+    """Each token's value of the token before."""
+    return np.concatenate(([0.0], x[:-1]))[: len(x)]
+
+
+class Batch:
+    """The texts of a batch with their n-grams, and what is known of these from the answers of a number of rounds."""
+
+    def __init__(self, lengths: list[int], blob: bytes, order: int):
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        ends = np.cumsum([0, *lengths]).tolist()
+        self.texts = len(lengths)
+        self.words, self.owners = word_hashes([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        self.grams = ngram_hashes(self.words, self.owners, order)
+
+    def first(self) -> tuple[list[Level], np.ndarray, np.ndarray, np.ndarray]:
+        """Words and pairs; their keys together, behind the key 0 of all tokens; the counts; and the keys' order."""
+        levels = [level(g, g != 0) for g in self.grams[:2]]
+        keys = np.concatenate([np.zeros(1, np.uint64), *[x.keys for x in levels]])
+        counts = np.concatenate([[len(self.words)], *[x.counts for x in levels]])
+        order = np.argsort(keys, kind="stable")
+        return levels, keys[order], counts[order], order
+
+    def known(self, answers: pd.DataFrame, rounds: int) -> tuple[float, list[np.ndarray]]:
+        """All tokens of the corpus, and what others() says of each length that these rounds have answered."""
+        def totals(n: int) -> np.ndarray:
+            parts = answers[answers["round"] == n].sort_values("part")["totals"]
+            return np.concatenate([_unpacked(x) for x in parts]) if len(parts) else np.empty(0, np.uint64)
+
+        levels, _, _, order = self.first()
+        sorted_ = totals(0)
+        mine = np.empty_like(sorted_)
+        mine[order] = sorted_
+        out, at = [], 1
+        for found in levels:
+            out.append(others(found, self.owners, mine[at : at + len(found.keys)]))
+            at += len(found.keys)
+        for n in range(1, rounds):
+            out.append(others(self.next(out), self.owners, totals(n)))
+        return float(mine[0]), out
+
+    def next(self, known: list[np.ndarray]) -> Level:
+        """The n-grams one word longer than those known that may occur in another document."""
+        grams, last = self.grams[len(known)], known[-1]
+        return level(grams, (grams != 0) & (last > 0) & (_after(last) > 0))
+
+
+def batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """(batch, ids, lengths, texts): the rows of each task in order, compressed in batches."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def done() -> pa.RecordBatch:
+            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["batch", "ids", "lengths", "texts"])
+
+        for b in rows:
+            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                raw = t.as_py() or b""
+                if texts and size + len(raw) > batch_bytes:
+                    yield done()
+                    number, ids, texts, size = number + 1, [], [], 0
+                ids.append(doc_id)
+                texts.append(raw)
+                size += len(raw)
+        if texts:
+            yield done()
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return plain.mapInArrow(run, "batch long, ids array<long>, lengths array<long>, texts binary")
 
 
 def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, tokens, score) of every row of docs."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = max(1, -(-size // batch_bytes))
     parts = 1 << max(0, (size // batch_bytes).bit_length())
     shift = 64 - parts.bit_length() + 1
+    rows = batches(docs, batch_bytes)
 
-    # The place in the scan spreads rows that agree in everything over batches, too.
-    spread = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(batches)).alias("batch")
-    rows = docs.select(F.col("doc_id").cast("long"), "text", spread).repartition("batch")
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts, _, _ = _distinct(pdf, order)
-        part = np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) << np.uint64(shift)) if parts > 1 else np.empty(0, np.int64)
-        cuts = [0, *part.tolist(), len(keys)]
-        batch = int(pdf["batch"].iloc[0])
-        out = [(p, batch, _planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), _planes(counts[a:b], 8)) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    def asked(batch: int, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        """The keys and counts by hash partition."""
+        bounds = np.arange(1, parts, dtype=np.uint64) << np.uint64(shift) if parts > 1 else np.empty(0, np.uint64)
+        cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+        out = [(p, batch, _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         return pd.DataFrame(out, columns=["part", "batch", "hashes", "counts"])
 
+    def read(pdf: pd.DataFrame) -> Batch:
+        return Batch(list(pdf["lengths"].iloc[0]), pdf["texts"].iloc[0], order)
+
+    def ask(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for i in range(len(pdf)):
+                one = pdf.iloc[i : i + 1]
+                _, keys, counts, _ = read(one).first()
+                yield asked(int(one["batch"].iloc[0]), keys, counts)
+
+    def ask_next(rounds: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            mine = read(pdf)
+            found = mine.next(mine.known(answers, rounds)[1])
+            return asked(int(pdf["batch"].iloc[0]), found.keys, found.counts)
+
+        return run
+
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(_unplanes(x, 8), dtype=np.uint64) for x in pdf["hashes"]]
-        counts = [_unplanes(x, 8) for x in pdf["counts"]]
-        all_, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(all_), np.uint64)
-        np.add.at(total, where, np.concatenate(counts))
-        mine = np.split(total[where], np.cumsum([len(k) for k in keys])[:-1])
-        return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": [_planes(t, 8) for t in mine]})
+        keys = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in pdf["hashes"]]
+        sizes = np.cumsum([len(k) for k in keys])[:-1]
+        all_ = np.concatenate(keys)
+        del keys
+        found = level(all_, np.ones(len(all_), bool))
+        counts = np.concatenate([_unpacked(x) for x in pdf["counts"]])
+        starts = np.cumsum(found.counts) - found.counts
+        totals = np.empty(len(all_), np.uint64)
+        totals[found.order] = np.repeat(np.add.reduceat(counts[found.order], starts), found.counts)
+        return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": [_packed(t) for t in np.split(totals, sizes)]})
 
     def score(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, _, grams, owners = _distinct(pdf, order)
-        totals = np.concatenate([_unplanes(x, 8) for x in answers.sort_values("part")["totals"]]).astype(np.float64)
-        n = np.bincount(owners, minlength=len(pdf))
-        others = [_others(g, owners, keys, totals) for g in grams]
-        rest = totals[0] - n[owners]  # tokens of the other documents
-        s = np.where(others[0] > 0, others[0] / np.maximum(rest, 1), backoff / (rest + 1))
+        mine = read(pdf)
+        owners, n = mine.owners, np.bincount(mine.owners, minlength=mine.texts)
+        total, known = mine.known(answers, max(1, order - 1))
+        rest = total - n[owners]  # tokens of the other documents
+        s = np.where(known[0] > 0, known[0] / np.maximum(rest, 1), backoff / (rest + 1))
         for k in range(1, order):
-            context = np.concatenate(([0.0], others[k - 1][:-1]))
-            known = (others[k] > 0) & (context > 0)
-            s = np.where(grams[k] == 0, s, np.where(known, others[k] / np.maximum(context, 1), backoff * s))
-        sums = np.bincount(owners, weights=np.log10(s), minlength=len(pdf))
+            context = _after(known[k - 1])
+            held = (known[k] > 0) & (context > 0)
+            s = np.where(mine.grams[k] == 0, s, np.where(held, known[k] / np.maximum(context, 1), backoff * s))
+        sums = np.bincount(owners, weights=np.log10(s), minlength=mine.texts)
         mean = [float(x) if k else None for x, k in zip(sums / np.maximum(n, 1), n.tolist(), strict=True)]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": n, "score": pd.Series(mean, dtype="Float64", index=pdf.index)})
-
-    asked = rows.groupBy("batch").applyInPandas(ask, "part int, batch long, hashes binary, counts binary")
-    answered = asked.groupBy("part").applyInPandas(answer, "batch long, part int, totals binary")
-    return rows.groupBy("batch").cogroup(answered.groupBy("batch")).applyInPandas(score, "doc_id long, tokens long, score double")
+        ids = pd.array([None if pd.isna(x) else int(x) for x in pdf["ids"].iloc[0]], dtype="Int64")
+        return pd.DataFrame({"doc_id": ids, "tokens": n, "score": pd.array(mean, dtype="Float64")})
 
+    def answered(asks: DataFrame, n: int) -> DataFrame:
+        return asks.groupBy("part").applyInPandas(answer, "batch long, part int, totals binary").withColumn("round", F.lit(n))
 
-def _others(gram: np.ndarray, owners: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Of every token, how often its n-gram occurs in all other documents."""
-    at = np.searchsorted(keys, gram)
-    pair = owners.astype(np.int64) * len(keys) + at
-    _, where, own = np.unique(pair, return_inverse=True, return_counts=True)
-    return np.where(gram == 0, 0.0, totals[at] - own[where])
+    message = "part int, batch long, hashes binary, counts binary"
+    answers = answered(rows.select("batch", "lengths", "texts").mapInPandas(ask, message), 0)
+    for n in range(1, order - 1):
+        asks = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(ask_next(n), message)
+        answers = answers.union(answered(asks, n))
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, tokens long, score double")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,26 +283,21 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens", F.round("score", 5).alias("score"))
 
 
-#: The same scores from plain tables of bigrams and words.
+#: The same scores from plain counts of words, pairs and triples; a context's count is that of the token before.
 OP5_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), t AS (
-  SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
-), du AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY 1, 2),
-u AS (SELECT word, sum(n) AS n FROM du GROUP BY 1),
-db AS (SELECT doc_id, prev, word, count(*) AS n FROM t WHERE prev IS NOT NULL GROUP BY 1, 2, 3),
-b AS (SELECT prev, word, sum(n) AS n FROM db GROUP BY 1, 2),
-dn AS (SELECT doc_id, len(w) AS n FROM w),
-total AS (SELECT sum(n) AS n FROM dn),
-s AS (
-  SELECT t.doc_id, t.prev, (SELECT n FROM total) - dn.n AS rest, u.n - du.n AS cw, uc.n - duc.n AS cp, b.n - db.n AS cb
-  FROM t JOIN dn ON t.doc_id = dn.doc_id JOIN u ON t.word = u.word JOIN du ON t.doc_id = du.doc_id AND t.word = du.word
-  LEFT JOIN u uc ON t.prev = uc.word LEFT JOIN du duc ON t.doc_id = duc.doc_id AND t.prev = duc.word
-  LEFT JOIN b ON t.prev = b.prev AND t.word = b.word LEFT JOIN db ON t.doc_id = db.doc_id AND t.prev = db.prev AND t.word = db.word
-), p AS (
-  SELECT doc_id, CASE WHEN prev IS NOT NULL AND cb > 0 AND cp > 0 THEN cb::DOUBLE / cp
-    ELSE (CASE WHEN prev IS NULL THEN 1e0 ELSE 0.4e0 END) * (CASE WHEN cw > 0 THEN cw::DOUBLE / greatest(rest, 1) ELSE 0.4e0 / (rest + 1) END) END AS p FROM s
-), g AS (SELECT doc_id, sum(log10(p)) AS score FROM p GROUP BY 1)
-SELECT dn.doc_id, dn.n AS tokens, round(g.score / dn.n, 5) AS score FROM dn LEFT JOIN g ON dn.doc_id = g.doc_id
+  SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c, len(w) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+), k AS (
+  SELECT *, (SELECT sum(len(w)) FROM w) - n AS rest,
+    count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY doc_id, a) AS c1,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY a, b) - count(*) OVER (PARTITION BY doc_id, a, b) ELSE 0 END AS c2,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) ELSE 0 END AS c3 FROM t
+), x AS (SELECT *, lag(c1) OVER d AS x1, lag(c2) OVER d AS x2 FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), s1 AS (SELECT *, CASE WHEN c1 > 0 THEN c1::DOUBLE / greatest(rest, 1) ELSE 0.4e0 / (rest + 1) END AS s FROM x
+), s2 AS (SELECT * REPLACE (CASE WHEN i = 1 THEN s WHEN c2 > 0 AND x1 > 0 THEN c2::DOUBLE / x1 ELSE 0.4e0 * s END AS s) FROM s1
+), s3 AS (SELECT * REPLACE (CASE WHEN i <= 2 THEN s WHEN c3 > 0 AND x2 > 0 THEN c3::DOUBLE / x2 ELSE 0.4e0 * s END AS s) FROM s2
+), g AS (SELECT doc_id, sum(log10(s)) AS score FROM s3 GROUP BY 1)
+SELECT w.doc_id, len(w.w) AS tokens, round(g.score / len(w.w), 5) AS score FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """

@@ -23,26 +23,31 @@ def _words(text):
     return [w.decode() for w in low.encode().split()]
 
 
-def test_language_model_scores_equal_a_plain_loop(spark):
-    texts = [_words(t) for _, t in TEXTS]
-    one = [Counter(w) for w in texts]
-    two = [Counter(zip(w, w[1:])) for w in texts]
-    all1, all2, total = sum(one, Counter()), sum(two, Counter()), sum(map(len, texts))
-    want = []
-    for (i, _), w, a, b in zip(TEXTS, texts, one, two):
+@pytest.mark.parametrize("order,batch_bytes", [(1, 8 << 20), (2, 40), (3, 8 << 20), (3, 40), (4, 40)])
+def test_language_model_scores_equal_a_plain_loop(spark, order, batch_bytes):
+    texts = TEXTS + [(20 + i, f"the cat and the {w} dog sat and the cat ran") for i, w in enumerate(("big", "old", "big"))]
+    found = [_words(t) for _, t in texts]
+
+    def counts(words, n):
+        return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+    own = [{n: counts(w, n) for n in range(1, order + 1)} for w in found]
+    all_ = {n: sum((o[n] for o in own), Counter()) for n in range(1, order + 1)}
+    total, want = sum(map(len, found)), []
+    for (i, _), w, mine in zip(texts, found, own):
         rest, logs = total - len(w), []
         for at, word in enumerate(w):
-            n = all1[word] - a[word]
+            n = all_[1][word,] - mine[1][word,]
             s = n / max(rest, 1) if n else 0.4 / (rest + 1)
-            if at:
-                pair = (w[at - 1], word)
-                n, c = all2[pair] - b[pair], all1[pair[0]] - a[pair[0]]
+            for k in range(2, min(order, at + 1) + 1):
+                gram = tuple(w[at - k + 1 : at + 1])
+                n, c = (all_[len(g)][g] - mine[len(g)][g] for g in (gram, gram[:-1]))
                 s = n / c if n and c else 0.4 * s
             logs.append(math.log10(s))
         want.append((i, len(w), round(sum(logs) / len(w), 5) if w else None))
-    got = [(r.doc_id, r.tokens, None if r.score is None else round(r.score, 5)) for r in lm_scoring.scores(_docs(spark)).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert lm_scoring.scores(_docs(spark, [])).collect() == []
+    rows = lm_scoring.scores(_docs(spark, texts).repartition(3), order=order, batch_bytes=batch_bytes).collect()
+    assert sorted([(r.doc_id, r.tokens, None if r.score is None else round(r.score, 5)) for r in rows], key=repr) == sorted(want, key=repr)
+    assert lm_scoring.scores(_docs(spark, []), order=order).collect() == []
 
 
 def test_languages_of_odd_texts(spark):
