@@ -11,7 +11,7 @@ stretch, so no line is carried twice. No number of lines, words or copies bounds
 
 What is shuffled is a narrow row of hashes for each chunk, and once the stretches that repeat, combined where they are
 read; so a stretch that a third of all documents hold is one row from each task. Documents are joined with their
-stretches, which is a shuffle of texts where these are many.
+stretches twice, to compare and to cut; both joins read one shuffle of the texts.
 
 Defined cases: a null text stays null and an empty one empty; words lie between ASCII blanks; a chunk that repeats in one
 document goes there too, and where it overlaps its first occurrence, its lines behind that; rows that agree in doc_id
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from lexiform.llm.common import maybe_broadcast, table, written
+from lexiform.llm.common import table, written
 
 #: A chunk ends after a line whose rolling hash is 0 modulo this.
 DIVISOR = 3
@@ -41,9 +41,6 @@ MIN_LINES = 2
 MIN_WORDS = 50
 #: Bytes of texts whose lines are hashed at a time (one text at least).
 STEP_BYTES = 4 << 20
-#: Documents, and stretches in them, up to which these are broadcast to the texts.
-BROADCAST_DOCS = 50_000
-BROADCAST_SPANS = 400_000
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 _ID = {"doc_id": pa.int64(), "row_hash": pa.int64()}
@@ -171,21 +168,14 @@ def _by_doc(rows: DataFrame, *names: str) -> DataFrame:
     return rows.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct(*names)).alias("spans"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df (doc_id, row_hash, spans), broadcast if it is small in rows and spans."""
-    rows, spans = df.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_DOCS and spans <= BROADCAST_SPANS else df
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, spans): the stretches of lines (first, behind) to remove from each row, compared byte by byte."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """The stretches of lines that stand earlier by their hashes (first, behind of a row; of_id, of_hash, of_first, length)."""
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash", "first")
     mark = F.xxhash64("doc_id", "row_hash", "first")
     found = written(chunks(docs), "line-chunks")
     first = found.groupBy("hash", "check").agg(F.min(place).alias("at"), F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi")
-    first = written(first.select("hash", "check", "at"), "line-firsts")
     # A hash may occur in a third of all rows: the join is against one row for each hash and may be split.
-    again = found.join(maybe_broadcast(first, first.count()), ["hash", "check"]).where(place != F.col("at"))
+    again = found.join(first.select("hash", "check", "at"), ["hash", "check"]).where(place != F.col("at"))
     again = again.select("doc_id", "row_hash", "first", "behind", F.col("at.doc_id").alias("of_id"), F.col("at.row_hash").alias("of_hash"), F.col("at.first").alias("of_first"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,22 +186,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield _batch(out, _RUN)
 
     runs = _by_doc(again, "first", "behind", "of_id", "of_hash", "of_first").mapInArrow(merge, _ddl(_RUN))
-    runs = written(runs.withColumn("length", F.col("behind") - F.col("first")), "line-runs")
-    bad = written(_unequal(docs, runs), "line-unequal")
-    if not bad.isEmpty():
-        same = [runs[c].eqNullSafe(bad[c]) for c in _KEY]
-        runs = runs.join(bad, same[0] & same[1] & same[2] & same[3], "left_anti")
-    return _by_doc(runs, "first", "behind")
+    return written(runs.withColumn("length", F.col("behind") - F.col("first")), "line-runs")
+
+
+def _held(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
+    """docs (doc_id, text and, where there are others, _row) beside the spans of each row."""
+    right = by_doc.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    same = docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash"))
+    if "_row" in docs.columns:
+        # Always true. It keeps the same columns on this side of every join, so that texts are shuffled once for all.
+        same = same & (F.size(F.array_repeat(docs["_row"], F.least(F.size("_spans"), F.lit(1)))) > 0)
+    return docs.join(right.hint("merge"), same, how)
 
 
-def _unequal(docs: DataFrame, runs: DataFrame) -> DataFrame:
+def unequal(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The first occurrences (of_id, of_hash, of_first, length) of which some stretch has other bytes."""
     own = runs.select(F.col("of_id").alias("doc_id"), F.col("of_hash").alias("row_hash"), F.col("of_first").alias("first"), (F.col("of_first") + F.col("length")).alias("behind"), *_KEY)
     asked = runs.select("doc_id", "row_hash", "first", "behind", *_KEY).union(own)
-    by_doc = written(_by_doc(asked, "first", "behind", *_KEY), "line-asked")
-    by_doc = _few(by_doc).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "spans")
-    texts = _rows(docs)
-    joined = texts.join(by_doc, texts.doc_id.eqNullSafe(F.col("_id")) & (texts.row_hash == F.col("_hash"))).select(F.col("text").cast("binary").alias("text"), "spans")
+    joined = _held(docs, _by_doc(asked, "first", "behind", *_KEY), "inner").select(F.col("text").cast("binary").alias("text"), F.col("_spans").alias("spans"))
     kinds = {k: v for k, v in _RUN.items() if k in _KEY} | {"length": pa.int32(), "body": pa.binary()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,18 +222,19 @@ def _unequal(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
     # Equal bytes have one smallest and largest value: a hot stretch is one row of each task.
     bodies = joined.mapInArrow(cut, _ddl(kinds)).groupBy(*_KEY).agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
-    return bodies.where("lo <> hi").select(*_KEY)
+    return bodies.where("lo <> hi").select(*[F.col(c).alias(f"bad_{c}") for c in _KEY])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed from text, and removed_lines (long) beside its columns."""
-    cuts = _few(written(repeated_spans(docs), "line-cuts"))
-    right = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("row_hash").alias("_cut_hash"), F.col("spans").alias("_cuts"))
-    # Other columns travel in one struct, so no name of theirs can meet one of this join.
+    runs = repeated(docs)
+    # Other columns travel in one struct, so no name of theirs can meet one of a join.
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "removed_lines")]
     rows = docs.select("doc_id", "text", *([F.struct(*[docs[c] for c in rest]).alias("_row")] if rest else []))
-    joined = rows.join(right, rows.doc_id.cast("long").eqNullSafe(F.col("_cut_id")) & (F.xxhash64(rows.text) == F.col("_cut_hash")), "left")
-    joined = joined.withColumn("_done", _without(rows.text, F.col("_cuts")))
+    bad = unequal(rows, runs)
+    same = [runs[c].eqNullSafe(bad[f"bad_{c}"]) for c in _KEY]
+    equal = runs.join(bad, same[0] & same[1] & same[2] & same[3], "left_anti")
+    joined = _held(rows, _by_doc(equal, "first", "behind"), "left").withColumn("_done", _without(F.col("text"), F.col("_spans")))
     out = [F.col("_done.text").alias(c) if c == "text" else F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in docs.columns if c != "removed_lines"]
     return joined.select(*out, F.col("_done.removed").alias("removed_lines"))
 

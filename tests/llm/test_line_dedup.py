@@ -71,14 +71,17 @@ def _corpus(rng):
     return docs, passages
 
 
-def test_passages_go_as_in_plain_loops(spark, monkeypatch):
+def test_passages_go_as_in_plain_loops(spark):
     docs, passages = _corpus(random.Random(3))
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = sorted((repr(r.doc_id), r.text) for r in line_dedup.deduplicate(table).collect())
     want = _plain(docs)
     assert got == sorted((repr(i), want.get((i, t), t)) for i, t in docs)
-    monkeypatch.setattr(line_dedup, "BROADCAST_DOCS", 0)  # texts are shuffled
-    assert got == sorted((repr(r.doc_id), r.text) for r in line_dedup.deduplicate(table).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # every join is a shuffle
+    try:
+        assert got == sorted((repr(r.doc_id), r.text) for r in line_dedup.deduplicate(table).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # Every copy of a passage but the first is gone, whole, whatever its lines.
     texts = {r.doc_id: r.text for r in line_dedup.deduplicate(table).collect() if r.doc_id is not None}
     for i in range(100 + len(passages), 250):
@@ -109,7 +112,7 @@ def test_clean_lines_stay_and_stretches_of_other_bytes_are_seen(spark):
     keys = {r.doc_id: r.row_hash for r in line_dedup._rows(docs).collect()}
     runs = [(1, keys[1], 0, 1, 0, keys[0], 0, 1), (2, keys[2], 1, 2, 0, keys[0], 1, 1)]  # "short" is equal, the lines after it are not
     runs = spark.createDataFrame(runs, "doc_id long, row_hash long, first int, behind int, of_id long, of_hash long, of_first int, length int")
-    assert [tuple(r) for r in line_dedup._unequal(docs, runs).collect()] == [(0, keys[0], 1, 1)]
+    assert [tuple(r) for r in line_dedup.unequal(docs, runs).collect()] == [(0, keys[0], 1, 1)]
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, "a"), (1, "a")]])
