@@ -40,8 +40,9 @@ from lexiform.llm.common import table
 
 ORDER = 3
 BACKOFF = 0.4
-#: Bytes of text in a batch of documents (one text at least), and for each hash partition, about.
-BATCH_BYTES = 8 << 20
+#: Bytes of text in a batch of documents (one text at least), and of the corpus for each hash partition, about.
+BATCH_BYTES = 4 << 20
+PART_BYTES = 16 << 20
 #: Bytes of text whose words are hashed at a time.
 STEP_BYTES = 1 << 20
 
@@ -146,7 +147,8 @@ class Batch:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         ends = np.cumsum([0, *lengths]).tolist()
         self.texts = len(lengths)
-        self.words, self.owners = word_hashes([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        self.words, owners = word_hashes([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        self.owners = owners.astype(np.int32)
         self.grams = ngram_hashes(self.words, self.owners, order)
 
     def first(self) -> tuple[list[Level], np.ndarray, np.ndarray, np.ndarray]:
@@ -207,10 +209,10 @@ def batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     return plain.mapInArrow(run, "batch long, ids array<long>, lengths array<long>, texts binary")
 
 
-def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, tokens, score) of every row of docs."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 << max(0, (size // batch_bytes).bit_length())
+    parts = 1 << max(0, (size // part_bytes).bit_length())
     shift = 64 - parts.bit_length() + 1
     rows = batches(docs, batch_bytes)
 

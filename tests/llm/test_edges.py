@@ -45,7 +45,7 @@ def test_language_model_scores_equal_a_plain_loop(spark, order, batch_bytes):
                 s = n / c if n and c else 0.4 * s
             logs.append(math.log10(s))
         want.append((i, len(w), round(sum(logs) / len(w), 5) if w else None))
-    rows = lm_scoring.scores(_docs(spark, texts).repartition(3), order=order, batch_bytes=batch_bytes).collect()
+    rows = lm_scoring.scores(_docs(spark, texts).repartition(3), order=order, batch_bytes=batch_bytes, part_bytes=batch_bytes).collect()
     assert sorted([(r.doc_id, r.tokens, None if r.score is None else round(r.score, 5)) for r in rows], key=repr) == sorted(want, key=repr)
     assert lm_scoring.scores(_docs(spark, []), order=order).collect() == []
 
