@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="lexiform-"))
     return f"{base.rstrip('/')}/{app}"
 
@@ -63,6 +65,11 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def sampled(hash_: Column, share: float) -> Column:
+    """Whether a row with this 64-bit hash is in a sample of that share, however small the share is."""
+    return F.lit(True) if share >= 1 else hash_ < F.lit(int(share * 2.0**64) - 2**63)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

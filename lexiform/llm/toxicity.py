@@ -2,20 +2,28 @@
 
 The kernel compares two words by their common subsequences of ORDER letters, each discounted by LAMBDA for every
 letter it spans, so that gaps and inserted characters lower a match but don't lose it; it is normalised to 1 for
-equal words. Landmarks are words whose kernel against a word, times the inverse root of the landmarks' own kernel
-matrix, is its feature vector (Nyström). A support vector machine over these features, trained by stochastic
-subgradient steps, tells words that mark toxic sentences from others; a text is rated by its strongest
-two words, over the whole text, and a logistic curve fitted to labelled texts turns both into a score.
+equal words. A word's features are its kernels with the landmarks, times the inverse root of the landmarks' own kernel
+matrix (Nyström). A support vector machine over these features is trained on labelled texts, not on words: a text's
+margin is that of its strongest words, so in each round the executors find, in every text of the sample, the words that
+are strongest under the machine of the round before; those of toxic texts must come out over 1, those of others under
+-1 (a squared hinge, minimised by Newton steps), whatever words they are. A text is rated by the mean margin of its two
+strongest words, over the whole text, and a logistic curve turns it into a score. The curve is fitted to one of
+KEPT_FOR_CURVE labelled texts by a machine that was trained on the others (to all, if these have one label only). The
+machine's RIDGE and the mean (against the strongest word, and both with slopes of their own) were compared by
+cross-validation on rows that are not held out; LAMBDA is one at which words with an inserted letter stay apart from
+others of those rows.
 
 Training sees a bounded sample (SAMPLE labelled rows, chosen by a hash of doc_id) of rows whose crc32(doc_id) mod 5 is
-not 0. Executors turn its texts into distinct words; the driver gets, for each word, in how many toxic and other
-texts of the sample it occurs, words of one text only being left out. Scoring is a map over the table: each task
-rates each distinct word it meets once. Letters apart by single punctuation marks or blanks ("i d i o t", "i.d.i.o.t")
-are also read as one word.
+not 0. Landmarks are words of the sample: those that tell its toxic texts from the others best, and some of the others.
+Executors turn texts into distinct words; the driver gets, for each word, in how many toxic and other texts of the
+sample it occurs (words of a text or two only being left out), and WITNESSES words a text in each round. Scoring is a
+map over the table: each task rates each distinct word it meets once. Letters apart by single punctuation marks or
+blanks ("i d i o t", "i.d.i.o.t") are also read as one word.
 
 Defined cases: null and empty texts have the score of a text without any word; a null doc_id is not held out; no
 labelled rows, or labels of one kind only, give the share of toxic labels (0 without labels) as every score; repeated
-rows are scored each; columns other than doc_id, text and labels' toxic are not read by score_texts().
+rows are scored each, and of rows that share a labelled doc_id the smallest text is learnt from; columns other than
+doc_id, text and labels' toxic are not read by score_texts().
 """
 
 from __future__ import annotations
@@ -35,17 +43,27 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import table
+from lexiform.llm.common import dropped, sampled, table, written
 
 ORDER = 3
-LAMBDA = 0.6
+LAMBDA = 0.9
 #: Letters of a word that the kernel reads; longer words are rated window by window.
 LENGTH = 16
-#: Labelled rows of the training sample, and words that are landmarks or training examples.
+#: Labelled rows of the training sample, about.
 SAMPLE = 6000
-LANDMARKS = 400
-EXAMPLES = 3000
-ROUNDS = 3
+#: Landmarks from words that mark toxic texts, and from others; texts of the sample that a word must be in.
+MARKED = 160
+OTHERS = 64
+MIN_TEXTS = 3
+ROUNDS = 4
+#: Strongest words of a text that a round adds to those the machine is trained on; of toxic texts two must be over 1.
+WITNESSES = 3
+STRONGEST = 2
+RIDGE = 1e-3
+#: Weight of a toxic text's words against others'.
+TOXIC_WEIGHT = 1.5
+#: One of so many texts of the sample is kept from the machine, for the curve.
+KEPT_FOR_CURVE = 4
 #: Words a task remembers the margins of.
 REMEMBERED = 300_000
 #: Words rated in one step, and characters of texts (one text at least) whose words are held at a time.
@@ -53,13 +71,6 @@ TOGETHER = 1000
 CHUNK = 1_000_000
 #: Letters, one for all others included, up to which the weights of triples are a plain table.
 DENSE_LETTERS = 128
-#: Texts of the sample that a word must be in to count; share of toxic ones, and evidence for it, that mark a word.
-MIN_TEXTS = 3
-MIN_RATIO = 11.5
-MIN_SHARE = 0.9
-EPOCHS = 12
-#: Words of other texts above this margin are trained on once more.
-WRONG = -0.8
 SEED = 7
 #: The margin of no word at all; none is below it.
 FLOOR = -2.0
@@ -89,7 +100,7 @@ class Model:
 
     triples: dict[str, float]
     bias: float
-    curve: tuple[float, float, float] = (0.0, 1.0, 1.0)  # offset, and slopes for the two strongest words
+    curve: tuple[float, float] = (0.0, 1.0)  # offset and slope over a text's margin
     constant: float | None = None
 
 
@@ -180,84 +191,92 @@ def triple_weights(word: str) -> dict[str, float]:
 _POWERS = [LAMBDA**n for n in range(LENGTH + 2)]
 
 
-def _machine(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, c: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by stochastic subgradient steps on the hinge loss, both classes of equal weight."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y < 0)
-    t = 1
-    for _ in range(EPOCHS):
-        order = rng.permutation(np.concatenate((np.resize(rng.permutation(pos), max(len(pos), len(neg))), np.resize(rng.permutation(neg), max(len(pos), len(neg))))))
-        for i in order.tolist():
-            rate = 1.0 / (c * (t + 1000))
-            w *= 1 - rate * c
-            if y[i] * (x[i] @ w + b) < 1:
-                w += rate * y[i] * x[i]
-                b += rate * y[i] * 0.1
-            t += 1
-    return w, b
-
-
-def marks(toxic_texts: int, other_texts: int, base: float) -> bool:
-    """Whether so one-sided a word is no chance find among very many words (log-likelihood ratio over MIN_RATIO)."""
+def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with a squared hinge, by Newton steps."""
+    x = np.column_stack((x, np.ones(len(x))))
+    share = np.where(y > 0, TOXIC_WEIGHT, 1.0)
+    share /= share.sum()
+    ridge = np.append(np.full(x.shape[1] - 1, RIDGE), 1e-6)
+    w = np.zeros(x.shape[1])
+    for _ in range(20):
+        inside = y * (x @ w) < 1
+        part = x[inside] * share[inside, None]
+        new = np.linalg.solve(2 * part.T @ x[inside] + np.diag(ridge), 2 * part.T @ y[inside])
+        if np.allclose(new, w, atol=1e-6):
+            break
+        w = new if not w.any() else 0.5 * (w + new)
+    return w[:-1], float(w[-1])
+
+
+def contrast(toxic_texts: int, other_texts: int, base: float) -> float:
+    """How much likelier the texts with a word are under their own share of toxic ones than under the share of all (log-likelihood)."""
     q = toxic_texts / (toxic_texts + other_texts)
-    if q < MIN_SHARE or q <= base:
-        return False
-    return toxic_texts * log(q / base) + (other_texts * log((1 - q) / (1 - base)) if other_texts else 0.0) >= MIN_RATIO
+    if q <= base:
+        return 0.0
+    return toxic_texts * log(q / base) + (other_texts * log((1 - q) / (1 - base)) if other_texts else 0.0)
+
+
+class Nystroem:
+    """Features of words from their kernels with the landmarks."""
+
+    def __init__(self, landmarks: list[str]):
+        feats = [_unit(w) for w in landmarks]
+        self.names = {t: i for i, t in enumerate(dict.fromkeys(t for f in feats for t in f))}
+        self.base = self._matrix(feats)  # the kernel is the inner product of the triples' weights
+        values, vectors = np.linalg.eigh(self.base @ self.base.T)
+        kept = values > 1e-4
+        self.whiten = vectors[:, kept] / np.sqrt(values[kept])
+
+    def _matrix(self, found: list[dict[str, float]]) -> np.ndarray:
+        out = np.zeros((len(found), len(self.names)))
+        for i, f in enumerate(found):
+            for t, v in f.items():
+                if t in self.names:
+                    out[i, self.names[t]] = v
+        return out
+
+    def features(self, words: list[str]) -> np.ndarray:
+        parts = [self._matrix([_unit(w) for w in words[i : i + 500]]) @ self.base.T @ self.whiten for i in range(0, len(words), 500)]
+        return np.concatenate(parts) if parts else np.empty((0, self.whiten.shape[1]))
+
+    def model(self, w: np.ndarray, b: float) -> Model:
+        """A word's margin is linear in its triples: kernels with the landmarks, whitened, times the machine's weights."""
+        dense = self.base.T @ (self.whiten @ w)
+        return Model({t: float(dense[i]) for t, i in self.names.items()}, b)
 
 
-def train(counts: list[tuple[str, int, int]], toxic: int, clean: int, mine: Callable[[Model], list[str]] | None = None) -> Model:
-    """A model from (word, toxic texts with it, other texts with it) and the numbers of texts.
+def train(counts: list[tuple[str, int, int]], toxic: int, clean: int, strongest: Callable[[Model], list[tuple[str, bool, list[str]]]]) -> Model:
+    """A model from (word, toxic texts with it, other texts with it), the numbers of texts, and the texts' strongest words.
 
-    mine(model) gives words of other texts that come out on the wrong side, strongest first; they are added as examples and
-    landmarks, and training is repeated.
+    strongest(model) gives (key, toxic, words) of every labelled text: its WITNESSES strongest words under a model.
     """
     if not toxic or not clean:
         return Model({}, 0.0, constant=1.0 if toxic else 0.0)
     base = toxic / (toxic + clean)
-    counts = sorted((x for x in counts if len(x[0]) >= ORDER), key=lambda x: zlib.crc32(x[0].encode()))
-    marked = [w for w, _, _ in sorted((x for x in counts if marks(x[1], x[2], base)), key=lambda x: -x[1])][:EXAMPLES]
-    plain = [w for w, t, c in counts if c >= MIN_TEXTS and t / (t + c) < max(0.5, base)]
-    if not marked or not plain:
+    counts = sorted((x for x in counts if len(x[0]) >= ORDER), key=lambda x: (zlib.crc32(x[0].encode()), x[0]))
+    rated = [(contrast(t, c, base), w) for w, t, c in counts]
+    chance = log(max(2, len(rated)))  # so much contrast is found by chance among so many words
+    marked = [w for v, w in sorted(rated, key=lambda x: -x[0]) if v > chance][:MARKED]
+    others = [w for v, w in rated if v <= chance][:OTHERS]
+    if not marked or not others:
         return Model({}, 0.0, constant=base)
-    rng = np.random.default_rng(SEED)
-    examples, landmarks = plain[:EXAMPLES], marked[: LANDMARKS // 2] + plain[: LANDMARKS // 8]
-    model = _fitted(marked, examples, landmarks, rng)
+    space = Nystroem(marked + others)
+    known = dict(zip(marked + others, space.features(marked + others)))
+    model = space.model(*_machine(np.array(list(known.values())), np.array([1.0] * len(marked) + [-1.0] * len(others))))
+    pools: dict[str, tuple[bool, set[str]]] = {}
     for _ in range(ROUNDS):
-        known = set(examples) | set(marked)
-        wrong = [w for w in (mine(model) if mine else []) if w not in known][:EXAMPLES]
-        if not wrong:
-            break
-        examples = examples + wrong
-        landmarks = landmarks + wrong[: LANDMARKS // 4]
-        model = _fitted(marked, examples, landmarks, rng)
+        for key, is_toxic, words in strongest(model):
+            pools.setdefault(key, (is_toxic, set()))[1].update(words)
+        new = sorted({w for _, words in pools.values() for w in words} - set(known))
+        known |= dict(zip(new, space.features(new)))
+        rater, names = Rater(model), list(known)
+        margin = dict(zip(names, rater.margins(names).tolist()))
+        chosen = [(w, is_toxic) for is_toxic, words in pools.values() for w in sorted(words, key=lambda w: (-margin[w], w))[: STRONGEST if is_toxic else WITNESSES]]
+        x, y = np.array([known[w] for w, _ in chosen]), np.array([1.0 if t else -1.0 for _, t in chosen])
+        model = space.model(*_machine(x, y))
     return model
 
 
-def _fitted(marked: list[str], plain: list[str], landmarks: list[str], rng: np.random.Generator) -> Model:
-    """The machine over the Nyström features of marked and plain words."""
-    feats = [_unit(w) for w in landmarks]
-    names = {t: i for i, t in enumerate(dict.fromkeys(t for f in feats for t in f))}
-
-    def matrix(found: list[dict[str, float]]) -> np.ndarray:
-        out = np.zeros((len(found), len(names)))
-        for i, f in enumerate(found):
-            for t, v in f.items():
-                if t in names:
-                    out[i, names[t]] = v
-        return out
-
-    # The kernel is the inner product of the triples' weights.
-    base = matrix(feats)
-    values, vectors = np.linalg.eigh(base @ base.T)
-    kept = values > 1e-6
-    whiten = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.concatenate([matrix([_unit(w) for w in part[i : i + 500]]) @ base.T @ whiten for part in (marked, plain) for i in range(0, len(part), 500)])
-    w, b = _machine(x, np.array([1.0] * len(marked) + [-1.0] * len(plain)), rng)
-    # So a word's margin is linear in its triples: kernels with the landmarks, whitened, times the machine's weights.
-    dense = base.T @ (whiten @ w)
-    return Model({t: float(dense[i]) for t, i in names.items()}, float(b))
-
-
 def _unit(word: str) -> dict[str, float]:
     f = triple_weights(word[:LENGTH])
     norm = sum(v * v for v in f.values()) ** 0.5
@@ -265,27 +284,18 @@ def _unit(word: str) -> dict[str, float]:
 
 
 def calibrated(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
-    """The model with the logistic curve over the two margins that fits the labelled texts, by Newton steps."""
-    def newton(columns: list[int]) -> np.ndarray:
-        x = np.column_stack((np.ones(len(margins)), margins))[:, columns]
-        beta, ridge = np.zeros(len(columns)), np.diag([1e-3] + [1e-1] * (len(columns) - 1))
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - labels) + ridge @ beta)
-        out = np.zeros(3)
-        out[columns] = beta
-        return out
-
-    curve = newton([0, 1, 2])
-    for column in (1, 2):  # a stronger word never lowers a score
-        if curve[column] < 0:
-            curve = newton([0, 3 - column])
-    model.curve = tuple(float(v) for v in curve)
+    """The model with the logistic curve over texts' margins that fits their labels, by Newton steps."""
+    x = np.column_stack((np.ones(len(margins)), margins.mean(1)))
+    beta, ridge = np.zeros(2), np.diag([1e-3, 1e-1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - labels) + ridge @ beta)
+    model.curve = float(beta[0]), max(0.0, float(beta[1]))  # a stronger word never lowers a score
     return model
 
 
 def score_of(model: Model, margins: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(model.curve[0] + margins @ np.array(model.curve[1:]), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * margins.reshape(-1, 2).mean(1), -30, 30)))
 
 
 def text_margins(rater: Rater, memory: dict[str, float], texts: list[dict[str, int]]) -> list[tuple[float, float]]:
@@ -322,58 +332,55 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most about ``sample`` labelled rows that are not held out."""
-    usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Train on about ``sample`` labelled rows that are not held out."""
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
     if not n:
         return Model({}, 0.0, constant=0.0)
-    part = min(1.0, sample / n)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(part * 1_000_000)).where("doc_id is not null")
-    # At most about sample narrow rows: broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", F.col("toxic").cast("int").alias("toxic"))
+    chosen = usable.where(sampled(F.xxhash64("doc_id", F.lit(SEED)), sample / n))
+    # About sample narrow rows: broadcast.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[w for w, n in sorted(words_of(t.as_py() or "").items()) for _ in range(min(n, 2))] for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column("toxic")], names=["words", "toxic"])
-
-    split_ = texts.mapInArrow(split, "words array<string>, toxic int").persist()
-    try:
-        kinds = {r["toxic"]: r["n"] for r in split_.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        per_word = split_.select(F.explode(F.array_distinct("words")).alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        marked = per_word.where(f"t >= {MIN_TEXTS} or c >= {MIN_TEXTS}").collect()  # frequent words of a bounded sample
-
-        def mine(model: Model) -> list[str]:
-            """The strongest words of the sample's other texts, found where the texts are."""
-            shared = docs.sparkSession.sparkContext.broadcast(model)
-
-            def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                rater, seen = Rater(shared.value), set()
-                for b in batches:
-                    new = list({w for ws in b.column("words").to_pylist() for w in ws if len(w) >= ORDER} - seen)
-                    seen.update(new)
-                    got = [(w, x) for w, x in zip(new, rater.margins(new).tolist()) if x > WRONG]
-                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["word", "m"])
-
-            found = split_.where("toxic = 0").select("words").mapInArrow(strong, "word string, m double")
-            return [r["word"] for r in found.groupBy("word").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "word").limit(2 * EXAMPLES).collect()]
-
-        model = train([(r["word"], r["t"], r["c"]) for r in marked], kinds.get(1, 0), kinds.get(0, 0), mine)
-        if model.constant is not None:
-            return model
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(model)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.string())), b.column("toxic")], names=["key", "words", "toxic"])
+
+    learns = F.crc32(F.concat(F.lit("learns"), "key").cast("binary")) % KEPT_FOR_CURVE != 0
+    split_ = written(texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "toxic").mapInArrow(split, "key string, words array<string>, toxic int").withColumn("learns", learns), "toxicity-sample")
+
+    def rated(model: Model, part: str) -> list[tuple]:
+        """(key, toxic, strongest words, two largest margins) of every text of a part of the sample."""
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rater, memory = Rater(shared.value), {}
             for b in batches:
-                got = text_margins(rater, memory, [Counter(w) for w in b.column("words").to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64()), b.column("toxic")], names=["best", "second", "toxic"])
-
-        rated = split_.mapInArrow(rate, "best double, second double, toxic int").collect()  # three numbers for each sampled row
-        return calibrated(model, np.array([(r["best"], r["second"]) for r in rated]), np.array([r["toxic"] for r in rated]))
-    finally:
-        split_.unpersist()
+                found = [Counter(w) for w in b.column("words").to_pylist()]
+                got = text_margins(rater, memory, found)
+                best = [sorted(words, key=lambda w: (-memory[w], w))[:WITNESSES] for words in found]
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("toxic"), pa.array(best, pa.list_(pa.string())), pa.array([list(x) for x in got], pa.list_(pa.float64()))], names=["key", "toxic", "best", "margins"])
+
+        out = split_.where(part).select("key", "words", "toxic").mapInArrow(rate, "key string, toxic int, best array<string>, margins array<double>").collect()
+        return sorted((r["key"], r["toxic"], r["best"], r["margins"]) for r in out)
+
+    def trained(part: str) -> Model:
+        """The machine of a part of the sample."""
+        texts = split_.where(part)
+        kinds = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        per_word = texts.select(F.explode(F.array_distinct("words")).alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        counts = per_word.where(f"t >= {MIN_TEXTS} or c >= {MIN_TEXTS}").collect()  # frequent words of a bounded sample
+        return train([(r["word"], r["t"], r["c"]) for r in counts], kinds.get(1, 0), kinds.get(0, 0), lambda m: [(key, toxic == 1, best) for key, toxic, best, _ in rated(m, part)])
+
+    model = trained("true")
+    if model.constant is None:
+        judge = trained("learns")
+        unseen = rated(judge, "not learns") if judge.constant is None else []
+        if len({t for _, t, _, _ in unseen}) < 2:
+            unseen = rated(model, "true")
+        model = calibrated(model, np.array([m for *_, m in unseen]), np.array([t for _, t, _, _ in unseen]))
+    dropped(split_)
+    return model
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
