@@ -17,16 +17,16 @@ than doc_id, text and lang are not read, lang only in training.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import table
+from lexiform.llm.common import sampled, table
 
 BUCKETS = 1 << 16
 SIZES = (3, 4)
@@ -40,7 +40,7 @@ KEEP = 0.995
 #: Bytes of a text looked up at a time.
 STEP = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def buckets(text: str) -> np.ndarray:
@@ -130,8 +130,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on about ``sample`` rows with a language that are not held out (twice as many at most)."""
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     n = usable.select("lang").count()
-    part = min(1.0, sample / max(1, n))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(part * 1_000_000)).select("text", "lang").limit(2 * sample)
+    chosen = usable.where(sampled(F.xxhash64("doc_id", F.lit(SEED)), sample / max(1, n))).select("text", "lang").limit(2 * sample)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
