@@ -43,12 +43,20 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
 
+@cache
+def unassigned() -> regex.Pattern:
+    """Code points without a category in Python's tables; the tokenizer's may be newer and know them."""
+    names = "".join("x" if unicodedata.category(chr(i)) == "Cn" else " " for i in range(0x110000))
+    return regex.compile("[" + "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in regex.finditer("x+", names)) + "]")
+
+
 class WordTokenizer:
     """Ids of the word vocabulary, as little-endian 32-bit bytes, with a memory of frequent strings.
 
     No merge crosses white space, so a text's ids are those of its strings between white space. A string's ids come
     from a byte-pair encoder with the vocabulary's ranks, in which a word's end is a byte of its own that merges first.
-    Texts with characters that the vocabulary's normalisation treats by context go through the tokenizer itself.
+    Texts with characters that the vocabulary's normalisation treats by context, or that Python's tables lack, go
+    through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -70,6 +78,7 @@ class WordTokenizer:
                 self.ids[ranks[raw]] = i.to_bytes(4, "little")
         self.piece = tiktoken.Encoding("words", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pieces = regex.compile(PIECES)
+        self.unassigned = unassigned().search
         self.known: dict[str, bytes] = {}
 
     def string(self, s: str) -> bytes:
@@ -82,7 +91,7 @@ class WordTokenizer:
         return got
 
     def text(self, text: str) -> bytes:
-        if "<|" in text or "Σ" in text or "\x00" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        if "<|" in text or "Σ" in text or "\x00" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not (text.isascii() or unicodedata.is_normalized("NFC", text) and not self.unassigned(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, string = self.known.get, self.string
         return b"".join([known(s) or string(s) for s in text.lower().split()])
