@@ -16,7 +16,9 @@ doc_id is kept; an empty table gives an empty result; columns beyond doc_id and
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -44,10 +46,14 @@ WORD_END = "</w>"
 
 
 @cache
-def unassigned() -> regex.Pattern:
+def unassigned() -> re.Pattern:
     """Code points without a category in Python's tables; the tokenizer's may be newer and know them."""
     names = "".join("x" if unicodedata.category(chr(i)) == "Cn" else " " for i in range(0x110000))
-    return regex.compile("[" + "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in regex.finditer("x+", names)) + "]")
+    return re.compile("[" + "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in regex.finditer("x+", names)) + "]")
+
+
+class Unknown(ValueError):
+    """A string with a character that Python's tables lack."""
 
 
 class WordTokenizer:
@@ -82,6 +88,8 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
 
     def string(self, s: str) -> bytes:
+        if not s.isascii() and self.unassigned(s):
+            raise Unknown(s)
         one = self.ids.__getitem__
         parts = (s,) if s.isalpha() else self.pieces.findall(s)
         got = b"".join([one(x) for p in parts for x in self.piece(p.encode() + self.end)])
@@ -91,10 +99,11 @@ class WordTokenizer:
         return got
 
     def text(self, text: str) -> bytes:
-        if "<|" in text or "Σ" in text or "\x00" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not (text.isascii() or unicodedata.is_normalized("NFC", text) and not self.unassigned(text)):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, string = self.known.get, self.string
-        return b"".join([known(s) or string(s) for s in text.lower().split()])
+        if not ("<|" in text or "Σ" in text or "\x00" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not (text.isascii() or unicodedata.is_normalized("NFC", text))):
+            known, string = self.known.get, self.string
+            with contextlib.suppress(Unknown):
+                return b"".join([known(s) or string(s) for s in text.lower().split()])
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _byte_chars() -> dict[int, str]:

@@ -45,6 +45,16 @@ def test_word_tokenizer_equals_the_tokenizer():
         assert tok.text(t) == np.array(tok.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_every_character_has_the_tokenizers_ids():
+    public = pytest.importorskip("public_tokenizers")
+    tok = packing.tokenizer(public.path("word_bpe_49k.json"))
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    rare = [i for i in points if i < 0x20000 and not i % 7 or i in (0x1C89, 0x1C8A, 0xA7CB, 0x10D50, 0x16EA0, 0x1E5D0)]
+    for i in rare:
+        text = f"a{chr(i)}b {chr(i)}"
+        assert tok.text(text) == np.array(tok.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(i)
+
+
 def test_ring_capacities_hold():
     pieces = sharding.place_arcs([10, 0, 5, 1], [0, 1, 0, 2], [6, 5, 5])
     taken = [0, 0, 0]
