@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lm_scoring": lm_scoring.OP5_SQL, "op6_decontamination": decontamination.OP6_SQL}
+    return {"op5_lm_scoring": lm_scoring.OP5_SQL, "op6_decontamination": decontamination.OP6_SQL, "op7_warc": warc.OP7_SQL}

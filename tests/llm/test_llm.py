@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import random
 import re
 
@@ -10,7 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from lexiform.llm import gif, line_dedup, lm_scoring, packing, sharding, simhash, toxicity, warc
+from lexiform.llm import gif, line_dedup, lm_scoring, packing, sharding, simhash, toxicity
 
 ROWS = [(1, "Hello world one two three", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "Hello world one two three", "en", "s", 5), (4, "Hello world one two three", "en", "s", 5), (None, "x", "fr", "s", 1)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -162,21 +161,6 @@ def test_broken_words_are_joined():
     assert {"idiot", "moron"} <= set(toxicity.words_of("an i-d-i-o-t and m o r o n"))
 
 
-def test_warc_round_trip_and_lookup(spark, tmp_path):
-    body = "<p>" + "x" * 200
-    pages = [(1, "http://www.Example.com/a?b=1#c", body), (2, "https://example.org:8080//q", body), (3, None, None), (4, "http://www.example.com/a?b=1", "y")]
-    archive, index = str(tmp_path / "warc"), str(tmp_path / "cdx")
-    captures = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), archive)
-    from lexiform.llm.common import written
-
-    directory = written(warc.write_index(written(captures, "captures"), index), "directory")
-    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_back(directory, index, archive).collect()}
-    assert got == {1: ("response", None, 203), 2: ("revisit", 1, 203), 3: ("response", None, 0), 4: ("response", None, 1)}
-    blocks = sorted((r.first_key, r.file, r.offset, r.length) for r in directory.collect())
-    assert sorted(p for _, p in warc.lookup(blocks, index, archive, "http://www.example.com/a?b=1")) == sorted([body.encode(), b"y"])
-    assert warc.lookup(blocks, index, archive, "http://nowhere.net/") == [] and os.path.isdir(archive)
-
-
 def test_words_rated_together_have_the_margins_of_the_kernel():
     rng = np.random.default_rng(3)
     known = ["idiot", "moron", "grüße", "clownish", "табак", "a" * 16]
