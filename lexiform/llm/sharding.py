@@ -8,8 +8,8 @@ depend on the data) is gathered on the driver, which walks it as a range partiti
 once, as narrow ids, never as texts.
 
 Defined cases: a null doc_id hashes like a value of its own; a null text has size 8 and the checksum of no bytes;
-rows that agree in doc_id, size and checksum are counted before they are shuffled and dealt apart afterwards, so a key
-with a third of all rows spreads over shards like any others; an empty table gives an empty result; columns beyond
+rows that agree in doc_id, size and checksum are counted before they are shuffled and then dealt in pieces of COPIES, so a
+key with a third of all rows is expanded by many tasks and spreads over shards like any others; an empty table gives an empty result; columns beyond
 doc_id and text are not read.
 """
 
@@ -27,6 +27,9 @@ from lexiform.llm.common import table, written
 RING = 1 << 16
 #: Rows that share a cell of an arc, about; a cell is what one window group holds.
 CELL_ROWS = 4096
+#: Equal rows that are dealt as one, and rows that a task expands, about.
+COPIES = 1024
+TASK_ROWS = 100_000
 
 
 def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -82,7 +85,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, vnodes: int = 64) -> DataFr
     code = F.xxhash64("doc_id")
     arc_of = spark.createDataFrame(arcs(points), "position int, arc int")
     rows = rows.withColumn("position", F.pmod(code, F.lit(RING)).cast("int")).join(F.broadcast(arc_of), "position")  # RING rows
-    rows = written(rows.select("doc_id", "size", "text_crc32", "times", "arc", F.xxhash64("doc_id", "size", "text_crc32").alias("spread")), "shard-rows")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES)))
+    rows = rows.select("doc_id", "size", "text_crc32", "arc", "times", piece.alias("piece")).withColumn("times", F.least(F.lit(COPIES), F.col("times") - F.col("piece") * COPIES))
+    rows = written(rows.withColumn("spread", F.xxhash64("doc_id", "size", "text_crc32", "piece")), "shard-rows")
 
     total = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.sum("times").alias("n")).collect()}  # one row for each arc
     loads = [total.get(a, 0) for a in range(len(points))]
@@ -94,10 +99,11 @@ def assign_shards(docs: DataFrame, shards: int = 24, vnodes: int = 64) -> DataFr
         filled[shard] += hi - lo
     plan = spark.createDataFrame(plan, "arc int, lo long, hi long, shard int, base long")
 
-    cells = max(1, n // (len(points) * CELL_ROWS))
-    rows = rows.withColumn("cell", F.pmod("spread", F.lit(cells)))
+    # An arc has cells in proportion to its rows; like the plan below, one row for each arc.
+    cells = spark.createDataFrame([(a, -(-load // CELL_ROWS)) for a, load in enumerate(loads) if load], "arc int, cells long")
+    rows = rows.join(F.broadcast(cells), "arc").withColumn("cell", F.pmod("spread", "cells"))
     # Rank of a row in its arc: rows before it in its cell and in the cells before.
-    inside = W.partitionBy("arc", "cell").orderBy("spread", "doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("arc", "cell").orderBy("spread", "doc_id", "size", "text_crc32", "piece").rowsBetween(W.unboundedPreceding, -1)
     before = W.partitionBy("arc").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     counts = rows.groupBy("arc", "cell").agg(F.sum("times").alias("held"))
     counts = counts.select("arc", "cell", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("earlier"))
@@ -105,6 +111,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, vnodes: int = 64) -> DataFr
     ranked = ranked.withColumn("first", F.col("nth") + F.col("earlier"))
     # The plan has at most one piece for each arc and overflow: bounded by the ring, so it is broadcast.
     placed = ranked.join(F.broadcast(plan), "arc").where((F.col("first") < F.col("hi")) & (F.col("first") + F.col("times") > F.col("lo")))
+    # Pieces are few bytes whatever they stand for, so their tasks are counted in rows.
+    placed = placed.repartition(max(1, -(-n // TASK_ROWS)), "spread")
     rank = F.explode(F.sequence(F.greatest("first", "lo"), F.least(F.col("first") + F.col("times"), F.col("hi")) - 1)).alias("rank")
     return placed.select("doc_id", "size", "text_crc32", "shard", "lo", "base", rank).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot")
