@@ -6,8 +6,10 @@ So each distinct fingerprint is indexed under its one-wildcard variants (segment
 bits), the variants meet by equality of that key, and what meets is verified by its Hamming distance.
 
 Copies never meet in pairs: equal fingerprints are one entry, and fingerprints under one key are compared in blocks
-that return a spanning forest of their links, not the links. Keys with more than BLOCK fingerprints are spread over
-tasks block against block. Fingerprints, links and components stay in tables.
+that return a spanning forest of their links, not the links. Under a key with more than BLOCK fingerprints the other
+segment is cut in two and indexed in the same way: of two that differ in at most three bits there, one half agrees up
+to one. Only what still has more than BLOCK fingerprints under such a narrower key is spread over tasks block against
+block. Fingerprints, links and components stay in tables.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and links like any other; fewer
 words than a shingle are one shingle; repeated rows share a component; a null doc_id is kept and takes the component
@@ -32,6 +34,8 @@ DISTANCE = 3
 SEED = 42
 #: Fingerprints under one key that are compared in one piece.
 BLOCK = 1024
+#: Distinct fingerprints whose signatures one task makes.
+TASK_ROWS = 20_000
 #: Hashes counted at a time.
 STEP = 65_536
 
@@ -77,6 +81,16 @@ def signatures(fps: DataFrame) -> DataFrame:
     return out.select(key.alias("key"), "fp")
 
 
+def narrower(runs: DataFrame) -> DataFrame:
+    """(key, fp) for fingerprints under a key: a code of it and the one-wildcard variants of both halves of the other segment."""
+    segment = F.shiftrightunsigned("key", 37).bitwiseAND(F.lit(1))
+    other = F.when(segment == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
+    places = [F.struct(F.lit(16 * h + p).alias("at"), F.lit((0xFFFF & ~(1 << p)) << 16 * h).alias("keep")) for h in (0, 1) for p in range(16)]
+    out = runs.select("key", "fp", other.alias("other"), F.explode(F.array(*places)).alias("at"))
+    # Codes that fall together cost comparisons, as links are verified.
+    return out.select(F.xxhash64("key", "at.at", F.col("other").bitwiseAND(F.col("at.keep"))).alias("key"), "fp")
+
+
 def linked(left: np.ndarray, right: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
     """Links that connect what the links of distance or less connect: each node is searched from once."""
     nodes = left if right is None else np.unique(np.concatenate((left, right)))
@@ -130,10 +144,18 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield _edge_batch(out)
         yield _edge_batch(_closed(key, run, block, distance))
 
-    met = signatures(fps).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare, "a long, b long, block int")
-    met = written(met, "simhash-links")
-    edges = met.where("block < 0").select("a", "b")
-    long_runs = met.where("block >= 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
+    def met_under(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The edges of short runs; the rows of long ones."""
+        met = keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(compare, "a long, b long, block int")
+        met = written(met, "simhash-links")
+        return met.where("block < 0").select("a", "b"), met.where("block >= 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
+
+    edges, hot = met_under(signatures(fps))
+    if not hot.isEmpty():
+        more, long_runs = met_under(narrower(hot))
+        edges = edges.union(more)
+    else:
+        long_runs = hot
     # Of a key with n blocks, each meets each: a row goes to its n pairs of blocks.
     counts = long_runs.groupBy("key").agg(F.max("block").alias("last"))
     pairs = long_runs.join(counts, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
@@ -169,7 +191,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of fingerprints."""
     prints = written(fingerprints(docs, shingle), "simhash-fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"), distance), "simhash-edges")
+    spread = distinct.select("fp").repartition(-(-distinct.count() // TASK_ROWS) or 1)
+    roots = connected_components(links(spread, distance), "simhash-edges")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # The smallest doc_id of a component comes by an aggregation, so a large component is combined where it is read.
     owner = named.groupBy("root").agg(F.min("least").alias("component_id"))
