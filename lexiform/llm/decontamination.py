@@ -1,14 +1,16 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (DataFrame functions only).
 
 A text is contaminated by a benchmark item if it contains at least ``threshold`` of the item's distinct word
-shingles. Items are partitioned by their number n of shingles. In each partition an item is represented by its MinHash
-sketch, the n - ceil(threshold * n) + 1 shingles of smallest hash: a document that lacks all of them lacks too many, so
-the sketch misses nothing, however long the document is. Sketches are small, documents long: the documents' shingle
-hashes stream past the sketches (a hash join without a shuffle while the counted sketches stay under a bound, a
-shuffled join beyond), and only what meets a sketch becomes a candidate. Candidates are verified by exact containment
-of shingles as strings.
+shingles. Items are partitioned by their number n of shingles, in classes by powers of two. An item's MinHash sketch is
+its shingles of smallest hash: n - ceil(threshold * n), which a document may lack, and as many more as its class says,
+which it must hold, so the sketch misses nothing, however long the document is, and a long item, which shares more by
+chance, asks for more. Sketches are small, documents long: the documents' distinct shingle hashes stream past the
+sketches (a hash join without a shuffle while the counted sketches stay under a bound, a shuffled join beyond), and only
+what meets as many entries of a sketch becomes a candidate. Candidates are verified by exact containment of shingles as
+strings.
 
-Words lie between ASCII blanks, A-Z lower-cased; a text of fewer words than a shingle is one shingle.
+Words lie between ASCII blanks, A-Z lower-cased; a text of fewer words than a shingle is one shingle, so an item of fewer
+words is found only in a document of the same words.
 
 Defined cases: null or empty texts and items have no shingles and never match; repeated items each report; a doc_id
 of several rows is contaminated if one of them is, at the largest containment; a null doc_id is kept; empty tables give
@@ -54,20 +56,24 @@ def _shingles(text: Column, k: int) -> Column:
 
 
 def sketches(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, hash): the MinHash sketch of every item."""
+    """(item_id, wanted, hash): the MinHash sketch of every item, and how many of its entries a match must hold."""
     numbered = items.select("item_id", F.array_sort(F.array_distinct(_hashes(F.col("text"), k))).alias("hashes"))
     n = F.size("hashes")
-    kept = (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    return numbered.where(n > 0).select("item_id", F.explode(F.slice("hashes", 1, kept)).alias("hash"))
+    lacking = (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9))).cast("int")
+    class_ = F.floor(F.log2(n)).cast("int")  # 0 for one shingle, 1 for two and three, 2 for four to seven, ...
+    sized = numbered.where(n > 0).select("item_id", "hashes", lacking.alias("lacking"), F.least(n - lacking, class_ + 1).alias("wanted"))
+    return sized.select("item_id", "wanted", F.explode(F.slice("hashes", 1, F.col("lacking") + F.col("wanted"))).alias("hash"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, hits, shingles, containment) of every pair at or over the threshold."""
     sketch = written(sketches(items.select("item_id", "text"), k, threshold), "sketches")
     sketch = maybe_broadcast(sketch.distinct(), sketch.count(), SKETCH_ROWS)
-    # Explode, probe and the partial distinct run in the scan's own tasks; only pairs that met are shuffled.
+    # Explode, probe and the partial distinct run in the scan's own tasks; only entries that met are shuffled.
     probes = docs.select("doc_id", F.explode(_hashes(F.col("text"), k)).alias("hash"))
-    met = written(probes.join(sketch, "hash").select("doc_id", "item_id").distinct(), "candidates")
+    held = probes.join(sketch, "hash").groupBy("doc_id", "item_id", "wanted", "hash").agg(F.lit(1).alias("one"))
+    held = held.groupBy("doc_id", "item_id", "wanted").agg(F.count("*").alias("held")).where("held >= wanted")
+    met = written(held.select("doc_id", "item_id").distinct(), "candidates")
     some = met.select(F.col("doc_id").alias("_doc")).distinct()
     chosen = docs.select("doc_id", "text").join(maybe_broadcast(some, some.count()), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
     # Each candidate text gets its items' shingles; both sides of the verification are exact strings.
