@@ -7,7 +7,7 @@ of WIDTH comes back from the frames' indices unchanged.
 
 Defined cases: a null text is an empty one, stored as WIDTH blanks; very long texts become many frames; equal texts
 give equal values; a null doc_id is kept; an empty table gives an empty result; columns beyond doc_id and text are
-not read. Broken images raise ValueError.
+not read. decode() raises ValueError for a broken image, of which frames() gives one row with an error.
 """
 
 from __future__ import annotations
@@ -184,6 +184,13 @@ class Image:
 
 def decode(raw: bytes) -> Image:
     """An image with all its frames."""
+    try:
+        return _decode(raw)
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError("a broken image") from e
+
+
+def _decode(raw: bytes) -> Image:
     if raw[:6] not in (b"GIF87a", b"GIF89a") or len(raw) < 13:
         raise ValueError("no GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", raw[6:13])
@@ -264,31 +271,44 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(canvas[:, :, c].ravel() >> 5, minlength=BINS) for c in range(3)])
 
 
+def timed(image: Image) -> Iterator[tuple[int, int, Frame, np.ndarray]]:
+    """(number, start in ms, frame, colour histogram of the canvas) of every frame."""
+    start = 0
+    for i, (f, canvas) in enumerate(zip(image.frames, image.canvases(), strict=True)):
+        yield i, start * 10, f, histogram(canvas)
+        start += f.delay
+
+
+_FRAME = {"id": pa.int64(), "error": pa.string(), "frame": pa.int32(), "start_ms": pa.int64(), "width": pa.int32(), "height": pa.int32(), "disposal": pa.int32(), "histogram": pa.list_(pa.int64())}
+
+
 def frames(media: DataFrame) -> DataFrame:
-    """A row for each frame of (id, gif): its number, start in ms, size, disposal and colour histogram (red, green, blue)."""
+    """A row for each frame of (id, gif): its number, start in ms, size, disposal and colour histogram (red, green, blue).
+
+    An image that is broken, or null, has one row with an error and no frame.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for key, raw in zip(b.column("id").to_pylist(), b.column("gif"), strict=True):
-                image, start = decode(raw.as_py()), 0
-                for i, (f, canvas) in enumerate(zip(image.frames, image.canvases(), strict=True)):
-                    rows.append((key, i, start * 10, f.width, f.height, f.disposal, histogram(canvas).ravel().tolist()))
-                    start += f.delay
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "frame", "start_ms", "width", "height", "disposal", "histogram"])
+                try:
+                    rows += [(key, None, i, at, f.width, f.height, f.disposal, h.ravel().tolist()) for i, at, f, h in timed(decode(raw.as_py() or b""))]
+                except ValueError as e:
+                    rows.append((key, str(e), None, None, None, None, None, None))
+            cols = list(zip(*rows, strict=True)) or [()] * len(_FRAME)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _FRAME.values(), strict=True)], names=list(_FRAME))
 
-    return media.select(F.col("id").cast("long"), "gif").mapInArrow(run, "id long, frame int, start_ms long, width int, height int, disposal int, histogram array<long>")
+    return media.select(F.col("id").cast("long"), "gif").mapInArrow(run, "id long, error string, frame int, start_ms long, width int, height int, disposal int, histogram array<long>")
 
 
 def digest(text: str | None) -> tuple:
-    """What op8 returns of a text, from the image it is stored in and read back from."""
+    """What op8 returns of a text, from the image it is stored in and read back from: its frames' indices and histograms."""
     raw = (text or "").encode()
     stored = encode(raw + b" " * (-len(raw) % WIDTH or (0 if raw else WIDTH)))
     image = decode(stored)
     payload = b"".join(f.indices.tobytes() for f in image.frames)
-    total = sum(np.bincount(c[:, :, 0].ravel() >> 5, minlength=BINS) for c in image.canvases())
+    total = sum(h[0] for _, _, _, h in timed(image))  # the palette is grey: all three colours have the same
     feature = f"{len(image.frames)}f/" + ".".join(map(str, total.tolist()))
     return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(image.frames)
 
