@@ -202,9 +202,13 @@ def read_range(path: str, file: str, offset: int, length: int) -> bytes:
         return f.read(length)
 
 
-def in_block(raw: bytes, key: str) -> list[tuple[str, int, int]]:
+def block(raw: bytes) -> list[str]:
+    """The lines of a block."""
+    return gzip.decompress(raw).decode().split("\n")[:-1]
+
+
+def in_block(lines: list[str], key: str) -> list[tuple[str, int, int]]:
     """The places (archive, offset, length) of a key in a block, found by bisection."""
-    lines = gzip.decompress(raw).decode().split("\n")[:-1]
 
     def surt_of(line: str) -> str:
         return line.split("\t", 1)[0]
@@ -226,7 +230,7 @@ def lookup(directory: list[tuple[str, str, str, int, int]], index_path: str, arc
     key, found = index_key(url), []
     for i in spans_with([d[0] for d in directory], [d[1] for d in directory], key):
         _, _, file, offset, length = directory[i]
-        found += [parse(read_range(archive_path, *place)) for place in in_block(read_range(index_path, file, offset, length), key)]
+        found += [parse(read_range(archive_path, *place)) for place in in_block(block(read_range(index_path, file, offset, length)), key)]
     return found
 
 
@@ -265,8 +269,8 @@ def places(asked: DataFrame, directory: DataFrame, index_path: str) -> DataFrame
             for i in spans_with(starts, ends, k):
                 asked_of.setdefault(i, []).append(k)
         for i, ks in asked_of.items():
-            raw = read_range(index_path, where[i][0], int(where[i][1]), int(where[i][2]))
-            found += [place for k in ks for place in in_block(raw, k)]
+            lines = block(read_range(index_path, where[i][0], int(where[i][1]), int(where[i][2])))
+            found += [place for k in ks for place in in_block(lines, k)]
         return pd.DataFrame(found, columns=["name", "at", "size"])
 
     routed = asked.mapInArrow(route, "key string, file string")
