@@ -94,7 +94,12 @@ def clean_text(c: Column, cjk: bool = True) -> Column:
     c = F.regexp_replace(c, r"[\x{0000}\x{FFFD}]", "")
     c = F.regexp_replace(c, f"[{WORD_CONTROL}]", "")
     c = F.regexp_replace(c, f"[{WORD_BLANK}]", " ")
-    return F.regexp_replace(c, f"([{CJK}])", " $1 ") if cjk else c
+    return set_apart(c) if cjk else c
+
+
+def set_apart(c: Column) -> Column:
+    """CJK ideographs between spaces."""
+    return F.regexp_replace(c, f"([{CJK}])", " $1 ")
 
 
 def split_spaces(c: Column) -> Column:
@@ -104,3 +109,62 @@ def split_spaces(c: Column) -> Column:
 def split_punctuation(c: Column) -> Column:
     """A word cut at every punctuation character, each a word of its own."""
     return F.regexp_extract_all(c, F.lit(f"[{PUNCTUATION}]|[^{PUNCTUATION}]+"), F.lit(0))
+
+
+def to_upper(c: Column) -> Column:
+    return F.upper(c)
+
+
+def starts_with(c: Column, prefix: Column) -> Column:
+    return F.startswith(c, prefix)
+
+
+def ends_with(c: Column, suffix: Column) -> Column:
+    return F.endswith(c, suffix)
+
+
+def concat(*cs: Column) -> Column:
+    return F.concat(*cs)
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by UTF-16 code units, in which characters above U+FFFF come before U+E000."""
+    x, y = F.encode(a, "UTF-16BE"), F.encode(b, "UTF-16BE")
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def equal(a: Column, b: Column) -> Column:
+    return compare(a, b) == 0
+
+
+def hash_of(c: Column) -> Column:
+    return F.xxhash64(c)
+
+
+def units(c: Column) -> Column:
+    """UTF-16 code units."""
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
+
+
+def from_utf8(raw: Column) -> Column:
+    """The text of UTF-8 bytes, empty if they are none."""
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).when(raw.isNotNull(), F.lit(""))
+
+
+def from_utf16(raw: Column) -> Column:
+    return F.decode(raw, "UTF-16BE")
+
+
+def from_utf32(points: Column) -> Column:
+    """The text of an array of code points."""
+    return F.decode(F.unhex(F.array_join(F.transform(points, lambda x: F.lpad(F.hex(x), 8, "0")), "")), "UTF-32")
+
+
+def each(c: Column) -> Column:
+    """The characters of a text, one for each code point."""
+    return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+
+
+def regex_test(c: Column, pattern: str) -> Column:
+    """Whether a pattern is found anywhere."""
+    return c.rlike(pattern)

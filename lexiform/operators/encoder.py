@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiform.operators.tensor import resolve_layer
@@ -23,6 +23,8 @@ POOLS = ("none", "cls", "avg", "max")
 PREFIX = "bert."
 BERT, ROBERTA = 0, 1
 GELU = 0
+#: Attention weights that are held at a time.
+TOGETHER = 1 << 21
 
 
 @dataclass
@@ -55,9 +57,9 @@ class Encoder:
 
     def positions(self, ids: np.ndarray) -> np.ndarray:
         if self.pad_id is None:
-            return np.arange(len(ids))
+            return np.broadcast_to(np.arange(ids.shape[-1]), ids.shape)
         real = ids != self.pad_id
-        return np.where(real, np.cumsum(real) + self.pad_id, 0)
+        return np.where(real, np.cumsum(real, -1) + self.pad_id, 0)
 
     def dense(self, x: np.ndarray, name: str) -> np.ndarray:
         return x @ self.weights[name + ".weight"].T + self.weights[name + ".bias"]
@@ -66,18 +68,18 @@ class Encoder:
         spread = x - x.mean(-1, keepdims=True)
         return spread / np.sqrt((spread**2).mean(-1, keepdims=True) + self.eps) * self.weights[name + ".weight"] + self.weights[name + ".bias"]
 
-    def hidden(self, ids: list[int], segments: list[int] | None = None, layer: int = -1) -> np.ndarray:
-        """The states of all tokens after a layer; 0 is the embeddings, -1 the last."""
+    def hidden(self, ids: list[int] | np.ndarray, segments: list[int] | np.ndarray | None = None, layer: int = -1) -> np.ndarray:
+        """The states of all tokens, of one text or of several of one length, after a layer; 0 is the embeddings, -1 the last."""
         at = np.asarray(ids)
         w = self.weights
-        kinds = np.zeros(len(at), int) if segments is None else np.asarray(segments)
+        kinds = np.zeros(at.shape, int) if segments is None else np.asarray(segments)
         x = w["embeddings.word_embeddings.weight"][at] + w["embeddings.position_embeddings.weight"][self.positions(at)] + w["embeddings.token_type_embeddings.weight"][kinds]
         x = self.norm(x, "embeddings.LayerNorm")
         for n in range(resolve_layer(layer, self.layers)):
             name = f"encoder.layer.{n}"
-            q, k, v = (self.dense(x, f"{name}.attention.self.{part}").reshape(len(at), self.heads, -1).transpose(1, 0, 2) for part in ("query", "key", "value"))
-            seen = softmax(q @ k.transpose(0, 2, 1) / np.sqrt(q.shape[-1])) @ v
-            x = self.norm(x + self.dense(seen.transpose(1, 0, 2).reshape(len(at), -1), f"{name}.attention.output.dense"), f"{name}.attention.output.LayerNorm")
+            q, k, v = (self.dense(x, f"{name}.attention.self.{part}").reshape(*at.shape, self.heads, -1).swapaxes(-3, -2) for part in ("query", "key", "value"))
+            seen = softmax(q @ k.swapaxes(-1, -2) / np.sqrt(q.shape[-1])) @ v
+            x = self.norm(x + self.dense(seen.swapaxes(-3, -2).reshape(*at.shape, -1), f"{name}.attention.output.dense"), f"{name}.attention.output.LayerNorm")
             x = self.norm(x + self.dense(gelu(self.dense(x, f"{name}.intermediate.dense")), f"{name}.output.dense"), f"{name}.output.LayerNorm")
         return x
 
@@ -85,7 +87,7 @@ class Encoder:
         """All states, or one vector through the pooler's dense layer and tanh."""
         if pool == "none":
             return x
-        one = x[0] if pool == "cls" else x.mean(0) if pool == "avg" else x.max(0)
+        one = x[..., 0, :] if pool == "cls" else x.mean(-2) if pool == "avg" else x.max(-2)
         return np.tanh(self.dense(one, "pooler.dense"))
 
     def vocabulary(self, x: np.ndarray) -> np.ndarray:
@@ -94,6 +96,29 @@ class Encoder:
         return softmax(self.dense(x, "predictions.decoder"))
 
 
+def position_ids(ids: Column, pad_id: int | None = None) -> Column:
+    """The positions of an array of token ids; with a padding id they skip it and begin behind it."""
+    model = Encoder({}, 1, 0, 0, pad_id=pad_id)
+
+    @F.pandas_udf("array<long>")
+    def positions(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else model.positions(np.asarray(x, int)).tolist() for x in rows], dtype=object)
+
+    return positions(ids)
+
+
+def together(ids: list, heads: int) -> Iterator[list[int]]:
+    """The places of texts of one length, in groups whose attention has TOGETHER weights at most (one text at least); nulls are left out."""
+    by_length: dict[int, list[int]] = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            by_length.setdefault(len(x), []).append(i)
+    for n, places in by_length.items():
+        step = max(1, TOGETHER // (heads * n * n))
+        for at in range(0, len(places), step):
+            yield places[at : at + step]
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -173,11 +198,15 @@ def encode(df: DataFrame, model: Encoder, pool: str = "cls", layer: int = -1, ke
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            rows = []
-            for k, ids, segments in zip(b[key], b["ids"], b["segments"]):
-                why = m.error(ids, segments)
-                out = None if why else np.atleast_2d(m.pooled(m.hidden(ids, segments, layer), pool)).astype(float).tolist()
-                rows.append((k, why, out))
+            why = [m.error(ids, kinds) for ids, kinds in zip(b["ids"], b["segments"])]
+            out: list = [None] * len(b)
+            takes = [None if w else ids for w, ids in zip(why, b["ids"])]
+            for places in together(takes, m.heads):
+                kinds = [np.zeros(len(takes[i]), int) if b["segments"].iloc[i] is None else b["segments"].iloc[i] for i in places]
+                found = m.pooled(m.hidden(np.stack([takes[i] for i in places]), np.stack(kinds), layer), pool)
+                for i, x in zip(places, found):
+                    out[i] = np.atleast_2d(x).astype(float).tolist()
+            rows = list(zip(b[key], why, out))
             yield pd.DataFrame(rows, columns=[key, "error", "vectors"])
 
     return picked.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, error string, vectors array<array<double>>")
@@ -193,15 +222,15 @@ def fill_mask(df: DataFrame, model: Encoder, mask_id: int, k: int = 3, key: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            rows = []
-            for key_, ids in zip(b[key], b["ids"]):
-                masks = [] if ids is None else np.flatnonzero(np.asarray(ids) == mask_id).tolist()
-                if why := m.error(ids, None) or (None if len(masks) == 1 else f"{len(masks)} masks"):
-                    rows.append((key_, why, None, None, None))
-                    continue
-                p = m.vocabulary(m.hidden(ids)[masks])[0]
-                best = np.lexsort((np.arange(len(p)), -p))[: k if k > 0 else len(p)]
-                rows += [(key_, None, n + 1, int(i), float(p[i])) for n, i in enumerate(best)]
+            masks = [[] if ids is None else np.flatnonzero(np.asarray(ids) == mask_id).tolist() for ids in b["ids"]]
+            why = [m.error(ids, None) or (None if len(found) == 1 else f"{len(found)} masks") for ids, found in zip(b["ids"], masks)]
+            rows = [(key_, w, None, None, None) for key_, w in zip(b[key], why) if w]
+            takes = [None if w else ids for w, ids in zip(why, b["ids"])]
+            for places in together(takes, m.heads):
+                states = m.hidden(np.stack([takes[i] for i in places]))
+                for i, p in zip(places, m.vocabulary(states[np.arange(len(places)), [masks[i][0] for i in places]])):
+                    best = np.lexsort((np.arange(len(p)), -p))[: k if k > 0 else len(p)]
+                    rows += [(b[key].iloc[i], None, n + 1, int(x), float(p[x])) for n, x in enumerate(best)]
             yield pd.DataFrame(rows, columns=[key, "error", "rank", "token_id", "prob"]).astype({"rank": "Int32", "token_id": "Int32"})
 
     return df.select(key, "ids").mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, error string, rank int, token_id int, prob double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +107,13 @@ def quantize_blocks(x: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, n
 
 def dequantize_blocks(d: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (q * d[:, None] + m[:, None]).astype(np.float32)
+
+
+def block_codes(v: Column, kind: str) -> Column:
+    """The codes of an array of values, of a multiple of BLOCK, in a block format."""
+
+    @F.pandas_udf("array<int>")
+    def codes(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else quantize_blocks(np.asarray(x, np.float32), kind)[2].ravel().astype(int).tolist() for x in rows], dtype=object)
+
+    return codes(v)

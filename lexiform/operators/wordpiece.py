@@ -1,8 +1,9 @@
-"""WordPiece as relations: words, candidate pieces, greedy chain.
+"""WordPiece: words of a text, and their pieces by longest match.
 
-Each distinct word is matched once: its substrings meet the vocabulary in a hash join, the longest at each start is
-kept, and a fold follows the chain. Words that repeat in a third of all texts cost a row. A word's remainder without a
-match becomes the unknown id after the pieces matched so far.
+Cleaning and splitting are Spark expressions; only the match is Python, an Arrow UDF over a text's words that remembers
+what it cut, so no token is shuffled and a word of a third of all texts is no hot key. The vocabulary is read to the driver
+behind a check of its size and shipped once to each executor. A word's remainder without a match becomes the unknown id
+after the pieces matched so far; a special token that the vocabulary lacks is the unknown id.
 
 That is the contract. ReferenceWalk keeps two defects of an older tokenizer instead, for results that must equal its:
 letters between the longest piece and the end of the walk are lost, and a word after an unknown remainder may begin
@@ -12,6 +13,7 @@ with an inner piece. So a word's ids depend on the words before it, and each tex
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,46 +25,113 @@ from lexiform.functions import text as T
 # The tokens that stay whole, and the mark of a word's inner pieces.
 SPECIALS = ("[CLS]", "[MASK]", "[PAD]", "[SEP]", "[UNK]")
 INNER = "##"
-#: Vocabulary rows up to which it is broadcast.
-VOCAB_ROWS = 2_000_000
+#: Vocabulary rows that the driver takes; more is an error.
+VOCAB_ROWS = 5_000_000
+#: Words a task remembers the pieces of.
+REMEMBERED = 500_000
 
 
-def basic_words(text: Column, lower: bool = False, never_split: tuple[str, ...] = SPECIALS) -> Column:
-    """Words of a text: cleaned, split at blanks, and at punctuation unless protected as a whole word."""
-    spaced = T.split_spaces(T.clean_text(text))
+@dataclass(frozen=True)
+class Profile:
+    """What is done to a text before its words are cut: a cased model by default."""
 
-    def parts(w: Column) -> Column:
-        return F.when(w.isin(*never_split), F.array(w)).otherwise(T.split_punctuation(F.lower(w) if lower else w))
+    clean: bool = True
+    cjk: bool = True
+    lower: bool = False
+    accents: bool = True
+    punctuation: bool = True
 
-    return F.flatten(F.transform(spaced, parts))
+    @staticmethod
+    def of(lower: bool = False, cjk: bool = True, strip_accents: bool | None = None, basic: bool = True) -> Profile:
+        """From a model's settings; accents go with lower case unless told otherwise, and without basic splitting only blanks cut."""
+        return Profile(basic, cjk, lower, not (lower if strip_accents is None else strip_accents), basic)
+
+
+CASED = Profile.of()
+UNCASED = Profile.of(lower=True)
+
+
+def basic_words(text: Column, profile: Profile = CASED, never_split: tuple[str, ...] = SPECIALS) -> Column:
+    """Words of a text: composed, cleaned, split at blanks; unless protected as a whole, lower-cased, stripped, split at punctuation."""
+    odd = T.nfc(F.when(text.rlike(r"[^\x{0000}-\x{007F}]"), text))  # other texts don't travel
+    text = F.coalesce(odd, text)
+    if profile.clean:
+        text = T.clean_text(text, profile.cjk)
+    else:
+        text = T.set_apart(text) if profile.cjk else text
+    plain = F.lower(text) if profile.lower else text
+    plain = plain if profile.accents else F.coalesce(T.strip_accents(F.when(plain.rlike(r"[^\x{0000}-\x{007F}]"), plain)), plain)
+
+    def parts(raw: Column, word: Column) -> Column:
+        cut = T.split_punctuation(word) if profile.punctuation else F.filter(F.array(word), lambda w: w != "")
+        return F.when(raw.isin(*never_split), F.array(raw)).otherwise(cut) if never_split else cut
+
+    # Lower case and stripping make and lose no spaces, so the words of both lie side by side.
+    return F.flatten(F.zip_with(F.split(text, " "), F.split(plain, " "), parts))
+
+
+class Pieces:
+    """A vocabulary that cuts words by longest match."""
+
+    def __init__(self, ids: dict[str, int], unk_id: int, never_split: tuple[str, ...] = SPECIALS):
+        self.all = ids
+        self.whole = {t: ids.get(t, unk_id) for t in never_split}
+        self.starts = {t: i for t, i in ids.items() if t not in self.whole}
+        self.inner = {t.removeprefix(INNER): i for t, i in self.starts.items() if t.startswith(INNER)}
+        self.unk_id = unk_id
+        self.longest = max(map(len, self.starts), default=0)
+
+    def ids(self, word: str) -> list[int]:
+        if word in self.whole:
+            return [self.whole[word]]
+        out, at, known = [], 0, self.starts
+        while at < len(word):
+            for end in range(min(len(word), at + self.longest), at, -1):
+                if (got := known.get(word[at:end])) is not None:
+                    out.append(got)
+                    at, known = end, self.inner
+                    break
+            else:
+                return out + [self.unk_id]
+        return out
+
+
+def pieces(vocab: DataFrame, unk_id: int) -> Pieces:
+    """The Pieces of (token, id)."""
+    if (n := vocab.count()) > VOCAB_ROWS:
+        raise ValueError(f"vocabulary of {n} rows; at most {VOCAB_ROWS}")
+    return Pieces({r["token"]: r["id"] for r in vocab.select("token", "id").collect()}, unk_id)
+
+
+def piece_ids(words: Column, cut: Pieces) -> Column:
+    """Ids of an array of words, in order; a null array gives null."""
+
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memory: dict[str, list[int]] = {}
+
+        def of(found: object) -> list[int] | None:
+            if found is None:
+                return None
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            out: list[int] = []
+            for w in found:  # type: ignore[attr-defined]
+                if w not in memory:
+                    memory[w] = cut.ids(w)
+                out += memory[w]
+            return out
+
+        for series in batches:
+            yield pd.Series([of(x) for x in series], dtype=object)
+
+    return ids(words)
 
 
 def greedy_pieces(words: DataFrame, vocab: DataFrame, unk_id: int) -> DataFrame:
     """(word, ids) for the distinct words of (word), by longest match against (token, id)."""
-    longest = vocab.agg(F.max(F.length("token"))).first()[0] or 1
-    n = vocab.count()
-    vocab = F.broadcast(vocab) if n <= VOCAB_ROWS else vocab
-    distinct = words.select("word").distinct()
-    starts = distinct.select("word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))).alias("at"))
-    room = F.least(F.lit(longest), F.length("word") - F.col("at") + 1)
-    found = starts.where(room > 0).select("word", "at", F.explode(F.sequence(F.lit(1), room)).alias("n"))
-    token = F.concat(F.when(F.col("at") > 1, INNER).otherwise(""), F.substring(F.col("word"), F.col("at"), F.col("n")))
-    met = found.withColumn("token", token).join(vocab, "token").groupBy("word", "at").agg(F.max(F.struct("n", "id")).alias("best"))
-    steps = met.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("steps"))
-    joined = distinct.join(steps, "word", "left")
-    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"), F.lit(False).alias("stop"))
-
-    def step(acc: Column, _: Column) -> Column:
-        hit = F.col("steps")[acc["at"]]
-        end = acc["stop"] | (acc["at"] > F.length("word"))
-        return (
-            F.when(end, acc)
-            .when(hit.isNull(), F.struct(acc["at"].alias("at"), F.concat(acc["ids"], F.array(F.lit(unk_id))).alias("ids"), F.lit(True).alias("stop")))
-            .otherwise(F.struct((acc["at"] + hit["n"]).alias("at"), F.concat(acc["ids"], F.array(hit["id"].cast("int"))).alias("ids"), F.lit(False).alias("stop")))
-        )
-
-    chain = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), empty, step)["ids"]
-    return joined.select("word", chain.alias("ids"))
+    cut = pieces(vocab, unk_id)
+    return words.select("word").distinct().select("word", piece_ids(F.array("word"), cut).alias("ids"))
 
 
 class ReferenceWalk:
@@ -122,18 +191,22 @@ def add_tokens(vocab: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFram
     return vocab.select("token", F.col("id").cast("int").alias("id")).union(added), asked.where(~new).select("pos", "token")
 
 
-def tokenize(docs: DataFrame, vocab: DataFrame, unk_id: int, key: str = "doc_id", compat: str = "contract") -> DataFrame:
+def tokenize(docs: DataFrame, vocab: DataFrame, unk_id: int, key: str = "doc_id", compat: str = "contract", profile: Profile = CASED) -> DataFrame:
     """(key, pos, token_id) of all texts, special tokens whole; compat="reference" takes ReferenceWalk."""
-    if compat == "reference":
-        # One model's vocabulary: small enough for every task.
-        walk = ReferenceWalk({r["token"]: r["id"] for r in vocab.select("token", "id").collect()}, unk_id)
-        return docs.select(key, F.posexplode(reference_ids(basic_words(F.col("text")), walk)).alias("pos", "token_id"))
-    if compat != "contract":
+    return token_ids(docs, vocab, unk_id, compat, profile).select(key, F.posexplode("ids").alias("pos", "token_id"))
+
+
+def token_ids(docs: DataFrame, vocab: DataFrame, unk_id: int, compat: str = "contract", profile: Profile = CASED) -> DataFrame:
+    """docs with ids beside its columns: a map without a shuffle."""
+    if compat not in ("contract", "reference"):
         raise ValueError(f"unknown compat {compat}")
-    words = docs.select(key, F.posexplode(basic_words(F.col("text"))).alias("pos", "word"))
-    whole = vocab.where(F.col("token").isin(*SPECIALS)).select(F.col("token").alias("word"), F.array(F.col("id").cast("int")).alias("ids"))
-    pieces = greedy_pieces(words.where(~F.col("word").isin(*SPECIALS)), vocab, unk_id).union(whole)
-    out = words.join(pieces, "word").select(key, "pos", F.posexplode("ids").alias("inner", "token_id"))
-    before = F.struct("pos", "inner")
-    ids = out.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(before.alias("at"), "token_id"))).alias("t"))
-    return ids.select(key, F.posexplode("t.token_id").alias("pos", "token_id"))
+    cut = pieces(vocab, unk_id)
+    words = basic_words(F.col("text"), profile)
+    ids = piece_ids(words, cut) if compat == "contract" else reference_ids(words, ReferenceWalk(cut.all, unk_id))
+    return docs.withColumn("ids", ids)
+
+
+def prefix_tokens(vocab: DataFrame, prefix: str) -> DataFrame:
+    """The tokens below a prefix, which is at a node of the vocabulary's tree if there are any, and whether it is a token itself."""
+    below = vocab.where(F.col("token").startswith(prefix))
+    return below.select("token", "id", (F.col("token") == prefix).alias("here"), F.substring("token", len(prefix) + 1, 2**31 - 1).alias("rest"))

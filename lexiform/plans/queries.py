@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
-from lexiform.operators import bpe, encoder, tensor, wordpiece
+from lexiform.operators import api, bpe, encoder, tensor, wordpiece
 from lexiform.sources import container, importer, types
 
 
@@ -22,11 +22,19 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    """(token, n, id): words of two documents or more; ids are ranks, dealt over lengths so that no sort is global."""
+    """(token, n, id): words of two documents or more; ids go on over lengths and first letters, by number within each.
+
+    Ranks are dealt over these parts and offsets come from their counts, so no sort is global. Ids are unique.
+    """
     # doc_id is a key: distinct words of a row, counted on the map side, are as good as distinct pairs and cost one shuffle.
     words = F.array_distinct(T.split_spaces(T.clean_text(F.col("text"))))
     held = _t(spark, d, "documents").where("doc_id is not null").select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n >= 2")
-    return held.withColumn("id", F.row_number().over(W.partitionBy(F.length("token")).orderBy(F.desc("n"), "token")).cast("int"))
+    held = held.withColumn("part", F.struct(F.length("token").alias("chars"), F.ascii("token").alias("first")))
+    # One row for each length and first letter: a few thousand, whatever the corpus.
+    sizes = held.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(W.partitionBy("part").orderBy(F.desc("n"), "token"))
+    return held.withColumn("rank", rank).join(F.broadcast(before), "part").select("token", "n", (F.col("before") + F.col("rank")).cast("int").alias("id"))
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -78,11 +86,68 @@ def wordpiece_greedy(spark: SparkSession, d: str) -> DataFrame:
     return wordpiece.greedy_pieces(names, vocab, 0).select("word", F.size("ids").cast("long").alias("pieces"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+def _short_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """(token, id): corpus words of up to three letters, whole and as inner pieces, behind the unknown token 0."""
+    short = _vocab(spark, d).where("length(token) <= 3").select("token", "id")
+    top = short.agg(F.max("id")).first()[0] or 0  # of words of three letters: bounded by an alphabet's cube
+    inner = short.select(F.concat(F.lit("##"), "token").alias("token"), (F.col("id") + top).alias("id"))
+    return short.union(inner).union(spark.createDataFrame([("[UNK]", 0)], "token string, id int"))
+
+
+def wordpiece_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All texts through the tokenizer, special tokens in place of every "the", against a vocabulary of the corpus."""
+    docs = _t(spark, d, "documents").withColumn("text", F.regexp_replace("text", " the ", " [MASK] "))
+    out = wordpiece.token_ids(docs, _short_vocab(spark, d), 0)
+    return out.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
+
+
+def basic_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of an uncased model of texts with control characters, ideographs and a special token put into them."""
+    odd = F.translate("text", "xkq", "\u0007\u4e2d\u200b")
+    odd = F.regexp_replace(F.regexp_replace(odd, " of ", " [MASK] "), "v", "\u00a0\ufffd")
+    words = wordpiece.basic_words(odd, wordpiece.UNCASED)
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(words).alias("pos", "word"))
+
+
+def clean_odd(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with control characters, ideographs, blanks of other kinds and U+FFFD put into them, cleaned."""
+    odd = F.regexp_replace(F.translate("text", "xkqwj", "\u0007\u4e2d\u200b\u3000\t"), "v", "\ufffd")
+    return _t(spark, d, "documents").select("doc_id", T.clean_text(odd).alias("clean"))
+
+
+def text_operators(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons, prefixes, suffixes, joins, sizes and characters of neighbouring fields of parts."""
+    p = _t(spark, d, "part")
+    name, brand = F.col("p_name"), F.concat(F.substring("p_name", 1, 3), F.col("p_brand"))
+    odd = T.concat(name, F.lit("\U00020000\ue000"))
+    chars = T.each(odd)
+    return p.select(
+        "p_partkey", T.to_upper(name).alias("upper"), T.starts_with(name, F.substring("p_name", 1, 3)).alias("starts"), T.ends_with(name, F.lit("e")).alias("ends"),
+        T.compare(name, brand).alias("compared"), T.equal(name, brand).alias("same"), T.concat(name, F.lit(" "), brand).alias("joined"),
+        T.units(odd).alias("units"), F.size(chars).cast("long").alias("points"), F.element_at(chars, -2).alias("far"),
+        T.compare(F.lit("\U00020000"), F.lit("\ue000")).alias("surrogates_first"), T.regex_test(name, "r.d|[xyz]").alias("matched"),
+        T.from_utf8(F.encode(odd, "UTF-8")).alias("back"), T.from_utf8(F.unhex(F.lit("ff41"))).alias("broken"), T.from_utf16(F.encode(odd, "UTF-16BE")).alias("back16"), T.from_utf32(F.array(F.lit(0x41), F.lit(0x20000))).alias("back32"),
+    )
+
+
+def special_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Roles of a byte-level vocabulary in which some stand in for others; the other tokens are nations."""
+    nations = _t(spark, d, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").cast("int").alias("id"))
+    own = spark.createDataFrame([("<s>", 100), ("[SEP]", 101), ("<mask>", 102), ("\u0120<unk>", 104), ("[PAD]", 105)], "token string, id int")
+    return api.special_tokens(nations.union(own), encoder.ROBERTA, {"unk": 104})
+
+
+def prefix_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus words below "th", with what follows."""
+    return wordpiece.prefix_tokens(_vocab(spark, d), "th")
+
+
 def positions_roberta(spark: SparkSession, d: str) -> DataFrame:
     """Positions that skip padding (here words of two letters), from 2 on; padding has 0."""
-    pad = F.length("word") == 2
-    run = F.sum(F.when(pad, 0).otherwise(1)).over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return _words(spark, d).select("doc_id", "pos", F.when(pad, 0).otherwise(run + 1).cast("long").alias("position"))
+    words = T.split_spaces(T.clean_text(F.col("text")))
+    ids = F.transform(words, lambda w: F.when(F.length(w) == 2, 1).otherwise(5))
+    out = _t(spark, d, "documents").select("doc_id", encoder.position_ids(ids, 1).alias("at"))
+    return out.select("doc_id", F.posexplode("at").alias("pos", "position"))
 
 
 def too_long(spark: SparkSession, d: str) -> DataFrame:
@@ -164,15 +229,14 @@ def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_to_token(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of the vocabulary's ids by length, and of ids that no token has."""
-    vocab = _vocab(spark, d).select(F.length("token").alias("chars"), "id", "token")
-    asked = vocab.select("chars").distinct().select("chars", F.explode(F.array(F.lit(1), F.lit(2), F.lit(1_000_000))).alias("id"))
-    return asked.join(vocab, ["chars", "id"], "left").select("chars", "id", "token")
+    """Tokens of the keys of lines as ids, and of ids that no token has."""
+    asked = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 3).cast("int").alias("id")).distinct()
+    return asked.join(_vocab(spark, d), "id", "left").select("id", "token")
 
 
 def wrap_cls_sep(spark: SparkSession, d: str) -> DataFrame:
     """Words by length as ids, between 101 and 102, with the flag of too long texts."""
-    ids = F.concat(F.array(F.lit(101)), F.transform(T.split_spaces(T.clean_text(F.col("text"))), F.length), F.array(F.lit(102)))
+    ids = api.wrapped(F.transform(T.split_spaces(T.clean_text(F.col("text"))), F.length), 101, 102)
     out = _t(spark, d, "documents").select("doc_id", ids.alias("ids"))
     return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), (F.size("ids") > 512).alias("too_long"))
 
@@ -213,6 +277,17 @@ def quant_q4_0(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("d", scale).select("vec_id", "dim", F.when(F.col("d") != 0, code).otherwise(8.0).cast("int").alias("q"))
 
 
+_FORMATS = ("q8_0", "q4_0", "q4_1", "q5_0", "q5_1")
+
+
+def quant_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of all vectors in all block formats."""
+    v = _t(spark, d, "embeddings")
+    coded = v.select("vec_id", *[tensor.block_codes(F.col("embedding"), k).alias(k) for k in _FORMATS])
+    rows = coded.select("vec_id", F.posexplode(F.arrays_zip(*_FORMATS)).alias("dim", "q"))
+    return rows.select("vec_id", "dim", *[F.col("q")[k].alias(k) for k in _FORMATS])
+
+
 def quant_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Codes of Q8_0 in 16 bins."""
     bins = F.least(F.expr("(q + 127) * 16 div 255"), F.lit(15))
@@ -316,7 +391,7 @@ REJECTED: dict[str, Callable[[SparkSession, str], DataFrame]] = {"encode_texts_r
 _W = r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{0000}\x{FFFD}]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g') AS clean FROM documents),
 s AS (SELECT doc_id, list_filter(string_split(clean, ' '), lambda x: x <> '') AS ws FROM c),
 w AS (SELECT doc_id, i::INT AS pos, ws[i + 1] AS word FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM s)),
-v AS (SELECT token, n, (row_number() OVER (PARTITION BY length(token) ORDER BY n DESC, token))::INT AS id FROM (SELECT word AS token, count(DISTINCT doc_id) AS n FROM w GROUP BY 1) WHERE n >= 2)
+v AS (SELECT token, n, (row_number() OVER (ORDER BY length(token), unicode(token), n DESC, token))::INT AS id FROM (SELECT word AS token, count(DISTINCT doc_id) AS n FROM w GROUP BY 1) WHERE n >= 2)
 """
 _E = "WITH e AS (SELECT vec_id, label, (i - 1)::INT AS dim, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))\n"
 # Symbols with a blank before and after each; merges replace pairs one after the other.
@@ -375,7 +450,47 @@ c AS (SELECT doc_id, array_to_string(list_transform(range(0, length(h), 2), lamb
 SELECT doc_id, length(c) AS chars, md5(c) AS digest FROM c""",
     ),
     "bpe_merges": (bpe_merges, _W + f"SELECT word, {_merged_sql} AS symbols FROM (SELECT DISTINCT word FROM w WHERE regexp_full_match(word, '[a-z]+'))"),
-    "id_to_token": (id_to_token, _W + "SELECT a.chars::INT AS chars, a.id, token FROM (SELECT DISTINCT length(token) AS chars, unnest([1, 2, 1000000])::INT AS id FROM v) a LEFT JOIN v ON length(token) = a.chars AND v.id = a.id"),
+    "id_to_token": (id_to_token, _W + "SELECT a.id, token FROM (SELECT DISTINCT (l_orderkey * 3)::INT AS id FROM lineitem) a LEFT JOIN v ON v.id = a.id"),
+    "wordpiece_documents": (
+        wordpiece_documents,
+        _W.replace("WITH c AS", "WITH RECURSIVE c AS")
+        + r""", sv AS (SELECT token, id FROM v WHERE length(token) <= 3), top AS (SELECT coalesce(max(id), 0) AS top FROM sv),
+m AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(replace(text, ' the ', ' [MASK] '), '[\x{0000}\x{FFFD}]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(ws, lambda w: CASE WHEN w IN ('[CLS]', '[MASK]', '[PAD]', '[SEP]', '[UNK]') THEN [w] ELSE regexp_extract_all(w, '[!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}]+') END)) AS ps FROM m),
+o AS (SELECT doc_id, i, ps[i] AS word FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+r AS (
+  SELECT word, 1 AS k, CASE WHEN word IN ('[CLS]', '[MASK]', '[PAD]', '[SEP]', '[UNK]') THEN ['0'] ELSE []::VARCHAR[] END AS ids, word IN ('[CLS]', '[MASK]', '[PAD]', '[SEP]', '[UNK]') AS done FROM (SELECT DISTINCT word FROM o)
+  UNION ALL
+  SELECT r.word, r.k + coalesce(length(coalesce(s3.token, s2.token, s1.token)), 0), list_append(r.ids, coalesce(coalesce(s3.id, s2.id, s1.id) + CASE WHEN r.k > 1 THEN (SELECT top FROM top) ELSE 0 END, 0)::VARCHAR), coalesce(s3.id, s2.id, s1.id) IS NULL
+  FROM r LEFT JOIN sv s3 ON s3.token = substr(r.word, r.k, 3) AND length(s3.token) = 3 LEFT JOIN sv s2 ON s2.token = substr(r.word, r.k, 2) AND length(s2.token) = 2 LEFT JOIN sv s1 ON s1.token = substr(r.word, r.k, 1)
+  WHERE NOT r.done AND r.k <= length(r.word)
+), e AS (SELECT word, ids FROM r WHERE done OR k > length(word)),
+j AS (SELECT o.doc_id, flatten(list(e.ids ORDER BY o.i)) AS ids FROM o JOIN e ON o.word = e.word GROUP BY 1)
+SELECT d.doc_id, len(coalesce(ids, [])) AS tokens, md5(array_to_string(coalesce(ids, []), ' ')) AS digest FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id""",
+    ),
+    "basic_words": (
+        basic_words,
+        r"""WITH t AS (SELECT doc_id, nfc_normalize(replace(replace(translate(text, 'xkq', chr(7) || chr(20013) || chr(8203)), ' of ', ' [MASK] '), 'v', chr(160) || chr(65533))) AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\x{0000}\x{FFFD}]', '', 'g'), '[^\P{C}\t\n\r]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g'), '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}])', ' \1 ', 'g') AS c FROM t),
+p AS (SELECT doc_id, flatten(list_transform(string_split(c, ' '), lambda w: CASE WHEN w = '[MASK]' THEN [w] ELSE regexp_extract_all(strip_accents(lower(w)), '[!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}]+') END)) AS ps FROM c)
+SELECT doc_id, i::INT AS pos, ps[i + 1] AS word FROM (SELECT *, unnest(range(len(ps))) AS i FROM p)""",
+    ),
+    "clean_odd": (
+        clean_odd,
+        r"""WITH t AS (SELECT doc_id, replace(translate(text, 'xkqwj', chr(7) || chr(20013) || chr(8203) || chr(12288) || chr(9)), 'v', chr(65533)) AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\x{0000}\x{FFFD}]', '', 'g'), '[^\P{C}\t\n\r]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g'), '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}])', ' \1 ', 'g') AS clean FROM t""",
+    ),
+    "text_operators": (
+        text_operators,
+        """WITH p AS (SELECT p_partkey, p_name AS a, p_name[1:3] || p_brand AS b, p_name || chr(131072) || chr(57344) AS odd FROM part)
+SELECT p_partkey, upper(a) AS upper, starts_with(a, a[1:3]) AS starts, a LIKE '%e' AS ends, (CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)::INT AS compared, a = b AS same, a || ' ' || b AS joined,
+  (length(a) + 3)::BIGINT AS units, (length(a) + 2)::BIGINT AS points, chr(131072) AS far, -1 AS surrogates_first, regexp_matches(a, 'r.d|[xyz]') AS matched, odd AS back, '' AS broken, odd AS back16, 'A' || chr(131072) AS back32 FROM p""",
+    ),
+    "special_tokens": (
+        special_tokens,
+        """SELECT * FROM (VALUES ('bos', 100, '<s>'), ('cls', 100, '<s>'), ('eos', 101, '[SEP]'), ('mask', 102, '<mask>'), ('pad', 105, '[PAD]'), ('sep', 101, '[SEP]'), ('unk', 104, ' <unk>')) t(role, id, token)""",
+    ),
+    "prefix_tokens": (prefix_tokens, _W + "SELECT token, id, token = 'th' AS here, token[3:] AS rest FROM v WHERE starts_with(token, 'th')"),
     "wrap_cls_sep": (wrap_cls_sep, _W + "SELECT doc_id, array_to_string(list_concat(['101'], list_transform(ws, lambda x: length(x)::VARCHAR), ['102']), ' ') AS ids, len(ws) + 2 > 512 AS too_long FROM s WHERE ws IS NOT NULL"),
     "vocab_offsets": (vocab_offsets, "SELECT p_partkey, strlen(p_name) AS len, (sum(strlen(p_name)) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - strlen(p_name))::BIGINT AS begin FROM part"),
     "special_ids": (
@@ -387,6 +502,15 @@ SELECT role, coalesce(stored, (SELECT id FROM v WHERE token = a), (SELECT id FRO
     "dense": (dense, _E + "SELECT vec_id, i::INT AS dim, round(sum(x * (((i * 31 + dim * 17) % 13 - 6) / 64e0)) + i, 6) AS x FROM e, range(8) t(i) GROUP BY vec_id, i"),
     "quant_q4_0": (quant_q4_0, _E + "SELECT vec_id, dim, (CASE WHEN d <> 0 THEN least(15, floor(x / d + 8.5e0)) ELSE 8 END)::INT AS q FROM (SELECT *, first_value(x) OVER (PARTITION BY vec_id, dim // 32 ORDER BY abs(x) DESC, dim) / -8e0 AS d FROM e)"),
     "quant_histogram": (quant_histogram, _E + ", q AS (SELECT (CASE WHEN d > 0 THEN round(x / d) ELSE 0 END)::INT AS q FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, dim // 32) / 127 AS d FROM e)) SELECT least((q + 127) * 16 // 255, 15)::INT AS bin, count(*) AS n FROM q GROUP BY 1"),
+    "quant_blocks": (
+        quant_blocks,
+        """WITH e AS (SELECT vec_id, (i - 1)::INT AS dim, embedding[i]::REAL AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+b AS (SELECT *, first_value(x) OVER (PARTITION BY vec_id, dim // 32 ORDER BY abs(x) DESC, dim) AS top, min(x) OVER p AS lo, max(x) OVER p AS hi FROM e WINDOW p AS (PARTITION BY vec_id, dim // 32)),
+d AS (SELECT *, abs(top) / 127::REAL AS d8, top / -8::REAL AS d4, top / -16::REAL AS d5, (hi - lo) / 15::REAL AS e4, (hi - lo) / 31::REAL AS e5 FROM b)
+SELECT vec_id, dim, (CASE WHEN d8 > 0 THEN sign(x) * floor(abs(x / d8) + 0.5::REAL) ELSE 0 END)::INT AS q8_0,
+  least(15, floor(CASE WHEN d4 <> 0 THEN x / d4 ELSE 0::REAL END + 8::REAL + 0.5::REAL))::INT AS q4_0, least(15, floor(CASE WHEN e4 > 0 THEN (x - lo) / e4 ELSE 0::REAL END + 0.5::REAL))::INT AS q4_1,
+  least(31, floor(CASE WHEN d5 <> 0 THEN x / d5 ELSE 0::REAL END + 16::REAL + 0.5::REAL))::INT AS q5_0, least(31, floor(CASE WHEN e5 > 0 THEN (x - lo) / e5 ELSE 0::REAL END + 0.5::REAL))::INT AS q5_1 FROM d""",
+    ),
     "attention_scores": (
         attention_scores,
         _E + """, s AS (SELECT a.vec_id, a.dim // 8 AS query, b.dim // 8 AS key, exp(sum(a.x * b.x) / sqrt(8e0)) AS s FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.dim % 8 = b.dim % 8 GROUP BY ALL)
