@@ -20,6 +20,7 @@ BROADCAST_ROWS = 200_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,16 +49,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiform_path = path
+    _written.append(path)
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete the files below a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing will read again."""
     path = getattr(df, "_lexiform_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        removed(df.sparkSession, path)
+
+
+def tables_so_far() -> int:
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Delete the tables that written() made since tables_so_far() gave mark: their last reader has ended."""
+    for path in _written[mark:]:
+        removed(spark, path)
+    del _written[mark:]
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiform.llm import simhash, toxicity
+from lexiform.llm import common, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, toxicity double, removed_lines long, _gone long, _leak long, _row string, component_id long, _doc long, hash long"
 ITEM = "which river runs through the old town and past the two mills before the sea"
@@ -93,8 +95,17 @@ def test_leaks_go(spark, sf):
     assert sorted(got) == sorted(str(r.doc_id) for r in _docs(spark, sf).collect() if r.doc_id != 400)
 
 
+def test_documents_without_words_stay(spark):
+    texts = ["a b c d", "\n\n", "\t", " \n ", "\n", "", None, "\u00a0", "\u00a0", "a b c d"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
 def test_the_whole_pipeline(spark, sf):
+    there = set(os.listdir(common.shared_dir(spark)))
     pieces = corpus_pipeline.run(spark, sf).collect()
+    left_over = set(os.listdir(common.shared_dir(spark))) - there
+    assert len(left_over) == 1 and left_over.pop().startswith("stage-3-")  # what the last stage reads
     left = {r.doc_id for r in pieces}
     assert not left & {*range(100, 130), 300, 301, 302, 400} and {None, 0, 200, 201, 500, 501, 502, 503, 504} <= left
     by_doc = {}
