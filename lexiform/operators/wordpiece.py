@@ -98,9 +98,10 @@ class Pieces:
 
 def pieces(vocab: DataFrame, unk_id: int) -> Pieces:
     """The Pieces of (token, id)."""
-    if (n := vocab.count()) > VOCAB_ROWS:
-        raise ValueError(f"vocabulary of {n} rows; at most {VOCAB_ROWS}")
-    return Pieces({r["token"]: r["id"] for r in vocab.select("token", "id").collect()}, unk_id)
+    rows = vocab.select("token", "id").limit(VOCAB_ROWS + 1).collect()
+    if len(rows) > VOCAB_ROWS:
+        raise ValueError(f"a vocabulary of over {VOCAB_ROWS} rows")
+    return Pieces({r["token"]: r["id"] for r in rows}, unk_id)
 
 
 def piece_ids(words: Column, cut: Pieces) -> Column:

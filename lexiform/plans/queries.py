@@ -88,9 +88,8 @@ def wordpiece_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 def _short_vocab(spark: SparkSession, d: str) -> DataFrame:
     """(token, id): corpus words of up to three letters, whole and as inner pieces, behind the unknown token 0."""
-    short = _vocab(spark, d).where("length(token) <= 3").select("token", "id")
-    top = short.agg(F.max("id")).first()[0] or 0  # of words of three letters: bounded by an alphabet's cube
-    inner = short.select(F.concat(F.lit("##"), "token").alias("token"), (F.col("id") + top).alias("id"))
+    short = _vocab(spark, d).where("length(token) <= 3").select("token", (F.col("id") * 2).alias("id"))
+    inner = short.select(F.concat(F.lit("##"), "token").alias("token"), (F.col("id") + 1).alias("id"))
     return short.union(inner).union(spark.createDataFrame([("[UNK]", 0)], "token string, id int"))
 
 
@@ -454,14 +453,14 @@ SELECT doc_id, length(c) AS chars, md5(c) AS digest FROM c""",
     "wordpiece_documents": (
         wordpiece_documents,
         _W.replace("WITH c AS", "WITH RECURSIVE c AS")
-        + r""", sv AS (SELECT token, id FROM v WHERE length(token) <= 3), top AS (SELECT coalesce(max(id), 0) AS top FROM sv),
+        + r""", sv AS (SELECT token, id * 2 AS id FROM v WHERE length(token) <= 3),
 m AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(replace(text, ' the ', ' [MASK] '), '[\x{0000}\x{FFFD}]', '', 'g'), '[ \t\n\r\p{Zs}]', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, flatten(list_transform(ws, lambda w: CASE WHEN w IN ('[CLS]', '[MASK]', '[PAD]', '[SEP]', '[UNK]') THEN [w] ELSE regexp_extract_all(w, '[!-/:-@\[-`{-~\p{P}]|[^!-/:-@\[-`{-~\p{P}]+') END)) AS ps FROM m),
 o AS (SELECT doc_id, i, ps[i] AS word FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
 r AS (
   SELECT word, 1 AS k, CASE WHEN word IN ('[CLS]', '[MASK]', '[PAD]', '[SEP]', '[UNK]') THEN ['0'] ELSE []::VARCHAR[] END AS ids, word IN ('[CLS]', '[MASK]', '[PAD]', '[SEP]', '[UNK]') AS done FROM (SELECT DISTINCT word FROM o)
   UNION ALL
-  SELECT r.word, r.k + coalesce(length(coalesce(s3.token, s2.token, s1.token)), 0), list_append(r.ids, coalesce(coalesce(s3.id, s2.id, s1.id) + CASE WHEN r.k > 1 THEN (SELECT top FROM top) ELSE 0 END, 0)::VARCHAR), coalesce(s3.id, s2.id, s1.id) IS NULL
+  SELECT r.word, r.k + coalesce(length(coalesce(s3.token, s2.token, s1.token)), 0), list_append(r.ids, coalesce(coalesce(s3.id, s2.id, s1.id) + CASE WHEN r.k > 1 THEN 1 ELSE 0 END, 0)::VARCHAR), coalesce(s3.id, s2.id, s1.id) IS NULL
   FROM r LEFT JOIN sv s3 ON s3.token = substr(r.word, r.k, 3) AND length(s3.token) = 3 LEFT JOIN sv s2 ON s2.token = substr(r.word, r.k, 2) AND length(s2.token) = 2 LEFT JOIN sv s1 ON s1.token = substr(r.word, r.k, 1)
   WHERE NOT r.done AND r.k <= length(r.word)
 ), e AS (SELECT word, ids FROM r WHERE done OR k > length(word)),
