@@ -35,6 +35,44 @@ def test_best_fit_decreasing_fills_windows():
         assert [o for o, _ in own] == [sum(x for _, x in own[:i]) for i in range(len(own))]
 
 
+def test_best_fit_decreasing_equals_a_plain_search():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 600):
+        lengths = rng.choice([1, 2, 3, 700, 1024, 1025, 2047, 2048, *rng.integers(1, 2049, 30).tolist()], n).astype(np.int64)
+        bins, offsets, count = packing.best_fit_decreasing(lengths)
+        used, fits = [], []
+        for x in sorted(lengths.tolist(), reverse=True):
+            open_ = [u for u in used if u + x <= 2048]
+            if open_:
+                used.remove(max(open_))  # the tightest window that still holds it
+                used.append(max(open_) + x)
+            else:
+                used.append(x)
+            fits.append(max(open_) if open_ else 0)
+        assert count == len(used) and sorted(np.bincount(bins, weights=lengths, minlength=count).tolist()) == sorted(used)
+        assert offsets[np.argsort(-lengths, kind="stable")].tolist() == fits
+
+
+def test_packing_cuts_overlong_documents_into_full_windows(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate((5000, 2047, 2048, 4095, 10, 1, 3))], "doc_id long, text string")
+    rows = packing.pack(docs.coalesce(1), path).collect()
+    for i in range(7):
+        mine = sorted((r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == i)
+        assert all(n == 2048 for _, n, _ in mine[:-1]) and sum(n for _, n, _ in mine) == mine[0][2]
+    assert len({r.sequence_id for r in rows}) == 2 + 1 + 1 + 2 + 1  # what is left of the cuts shares one window
+
+
+def test_languages_of_held_out_documents(spark):
+    from lexiform.llm import language_id
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs = {r.doc_id: r.lang for r in docs.collect() if r.lang}
+    out = [r for r in language_id.op3_language_id(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in langs and r.lang_pred != "und"]
+    assert len(out) > 150 and sum(r.lang_pred == langs[r.doc_id] for r in out) >= 0.97 * len(out)
+    assert not any(language_id.has_letter(t) for t in (None, "", "²½ Ⅷ ① ٣", "12 ...", "\u0301")) and all(map(language_id.has_letter, ("a", "1ß", "中", "ʰ")))
+
+
 def test_word_tokenizer_equals_the_tokenizer():
     public = pytest.importorskip("public_tokenizers")
     tok = packing.tokenizer(public.path("word_bpe_49k.json"))
