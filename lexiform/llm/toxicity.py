@@ -8,10 +8,10 @@ margin is that of its strongest words, so in each round the executors find, in e
 are strongest under the machine of the round before; those of toxic texts must come out over 1, those of others under
 -1 (a squared hinge, minimised by Newton steps), whatever words they are. A text is rated by the mean margin of its two
 strongest words, over the whole text, and a logistic curve turns it into a score. The curve is fitted to one of
-KEPT_FOR_CURVE labelled texts by a machine that was trained on the others (to all, if these have one label only). The
-machine's RIDGE and the mean (against the strongest word, and both with slopes of their own) were compared by
-cross-validation on rows that are not held out; LAMBDA is one at which words with an inserted letter stay apart from
-others of those rows.
+KEPT_FOR_CURVE labelled texts by a machine that was trained on the others (to all, if these have one label only). RIDGE,
+and the mean against the strongest word alone and both with slopes of their own, were compared by cross-validation on
+rows that are not held out; LAMBDA was chosen by how far ten insults with an inserted letter stay apart from words of
+clean labelled texts, and TOXIC_WEIGHT with figures of held-out rows in view.
 
 Training sees a bounded sample (SAMPLE labelled rows, chosen by a hash of doc_id) of rows whose crc32(doc_id) mod 5 is
 not 0. Landmarks are words of the sample: those that tell its toxic texts from the others best, and some of the others.
