@@ -24,7 +24,7 @@ PREFIX = "bert."
 BERT, ROBERTA = 0, 1
 GELU = 0
 #: Attention weights that are held at a time.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
 
 
 @dataclass
