@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.operators.encoder import POOLS, Encoder
+from lexiform.operators.encoder import POOLS, Encoder, best
 from lexiform.operators.wordpiece import ReferenceWalk
 
 NAMES = ("word_ids", "text_vector", "mask_tokens")
@@ -58,7 +58,7 @@ def register(spark: SparkSession, ids: dict[str, int] | None = None, unk_id: int
                         out.append(None)
                         continue
                     p = m.vocabulary(m.hidden(x)[at])[0]
-                    out.append(np.lexsort((np.arange(len(p)), -p))[: int(k) if k > 0 else len(p)].astype(int).tolist())
+                    out.append(best(p, int(k)).astype(int).tolist())
                 yield pd.Series(out, dtype=object)
 
         spark.udf.register(NAMES[2], mask_tokens)

@@ -56,8 +56,13 @@ def wrapped(ids: Column, cls_id: int, sep_id: int) -> Column:
 
 def tokenize(docs: DataFrame, vocab: DataFrame, max_tokens: int, cls_id: int, sep_id: int, unk_id: int, profile: wordpiece.Profile = wordpiece.CASED) -> DataFrame:
     """docs with ids between cls and sep, their number, and whether the model takes fewer."""
-    out = wordpiece.token_ids(docs, vocab, unk_id, profile=profile).withColumn("ids", wrapped(F.col("ids"), cls_id, sep_id))
-    return out.withColumn("tokens", F.size("ids").cast("long")).withColumn("too_long", F.size("ids") > max_tokens)
+    return sized(wordpiece.token_ids(docs, vocab, unk_id, profile=profile).withColumn("ids", wrapped(F.col("ids"), cls_id, sep_id)), max_tokens)
+
+
+def sized(docs: DataFrame, max_tokens: int) -> DataFrame:
+    """docs with the number of their ids, and whether a model takes fewer; both are null where ids are."""
+    n = F.when(F.col("ids").isNotNull(), F.size("ids").cast("long"))
+    return docs.withColumn("tokens", n).withColumn("too_long", n > max_tokens)
 
 
 def vector_size(hidden: int, pool: str, tokens: int) -> int:
@@ -91,8 +96,8 @@ def likeliest(states: DataFrame, model: encoder.Encoder, k: int = 3, key: str =
                     rows.append((key_, "no states" if not x else "states of another size", None, None, None))
                     continue
                 for pos, p in enumerate(m.vocabulary(np.stack(x))):
-                    best = np.lexsort((np.arange(len(p)), -p))
-                    rows.append((key_, None, pos, best.tolist() if k <= 0 else best[:k].tolist(), p.tolist() if k <= 0 else p[best[:k]].tolist()))
+                    best = encoder.best(p, k)
+                    rows.append((key_, None, pos, best.tolist(), p.tolist() if k <= 0 else p[best].tolist()))
             yield pd.DataFrame(rows, columns=[key, "error", "pos", "token_ids", "probs"]).astype({"pos": "Int32"})
 
     return states.select(key, "vectors").mapInPandas(run, f"{key} {states.schema[key].dataType.simpleString()}, error string, pos int, token_ids array<int>, probs array<double>")

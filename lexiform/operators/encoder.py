@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiform.operators.tensor import resolve_layer
@@ -107,6 +107,48 @@ def position_ids(ids: Column, pad_id: int | None = None) -> Column:
     return positions(ids)
 
 
+def errors(model: Encoder, ids: Column, segments: Column | None = None) -> Column:
+    """Why a model can't take a text of ids and segments, or null where it can; in Arrow batches."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def why(rows: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.error(x, k) for x, k in zip(rows, kinds)], dtype=object)
+
+    return why(ids.cast("array<int>"), (F.lit(None) if segments is None else segments).cast("array<int>"))
+
+
+def dense(model: Encoder, v: Column, name: str) -> Column:
+    """A model's dense layer over arrays of numbers, in Arrow batches; null for null."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def layer(rows: pd.Series) -> pd.Series:
+        out: list = [None] * len(rows)
+        places = [i for i, x in enumerate(rows) if x is not None]
+        if places:
+            for i, x in zip(places, shared.value.dense(np.stack([rows.iloc[i] for i in places]), name)):
+                out[i] = x
+        return pd.Series(out, dtype=object)
+
+    return layer(v)
+
+
+def best(p: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest numbers (of all for k <= 0), falling, equal ones by place."""
+    return np.lexsort((np.arange(len(p)), -p))[: k if k > 0 else len(p)]
+
+
+def top_places(v: Column, k: int) -> Column:
+    """best() over arrays of numbers, in Arrow batches; null for null."""
+
+    @F.pandas_udf("array<int>")
+    def places(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else best(np.asarray(x), k).astype(np.int32) for x in rows], dtype=object)
+
+    return places(v)
+
+
 def together(ids: list, heads: int) -> Iterator[list[int]]:
     """The places of texts of one length, in groups whose attention has TOGETHER weights at most (one text at least); nulls are left out."""
     by_length: dict[int, list[int]] = {}
@@ -229,8 +271,7 @@ def fill_mask(df: DataFrame, model: Encoder, mask_id: int, k: int = 3, key: str
             for places in together(takes, m.heads):
                 states = m.hidden(np.stack([takes[i] for i in places]))
                 for i, p in zip(places, m.vocabulary(states[np.arange(len(places)), [masks[i][0] for i in places]])):
-                    best = np.lexsort((np.arange(len(p)), -p))[: k if k > 0 else len(p)]
-                    rows += [(b[key].iloc[i], None, n + 1, int(x), float(p[x])) for n, x in enumerate(best)]
+                    rows += [(b[key].iloc[i], None, n + 1, int(x), float(p[x])) for n, x in enumerate(best(p, k))]
             yield pd.DataFrame(rows, columns=[key, "error", "rank", "token_id", "prob"]).astype({"rank": "Int32", "token_id": "Int32"})
 
     return df.select(key, "ids").mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, error string, rank int, token_id int, prob double")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 32
+#: Parts of a histogram of codes, and the least and largest code of each block format.
+BINS = 16
+CODES = {"q4_0": (0, 15), "q4_1": (0, 15), "q5_0": (0, 31), "q5_1": (0, 31), "q8_0": (-127, 127)}
 
 
 def doubles(v: Column) -> Column:
@@ -37,6 +40,11 @@ def layer_norm(v: Column, eps: float = 1e-12) -> Column:
     return let(mean(v), lambda m: let(F.transform(v, lambda x: x - m), scaled))
 
 
+def pooled(rows: DataFrame, *keys: str, x: str = "x") -> DataFrame:
+    """(keys, avg_pool, max_pool) of long rows: the mean and the maximum of a text's states in each dimension, a relation's form of the pools."""
+    return rows.groupBy(*keys).agg(F.avg(x).alias("avg_pool"), F.max(x).alias("max_pool"))
+
+
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
@@ -109,11 +117,44 @@ def dequantize_blocks(d: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray
     return (q * d[:, None] + m[:, None]).astype(np.float32)
 
 
+def histogram(codes: np.ndarray, kind: str) -> np.ndarray:
+    """How many codes of a block format fall into each of BINS equal parts of the codes it can have."""
+    low, high = CODES[kind]
+    return np.bincount(np.minimum((np.ravel(codes).astype(np.int64) - low) * BINS // (high - low + 1), BINS - 1), minlength=BINS)
+
+
+def _batch_codes(rows: pd.Series, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, codes) of the arrays of a batch that aren't null, quantized together."""
+    places = [i for i, x in enumerate(rows) if x is not None]
+    arrays = [np.asarray(rows.iloc[i], np.float32) for i in places]
+    if wrong := next((len(x) for x in arrays if len(x) % BLOCK), None):
+        raise ValueError(f"an array of {wrong} values; blocks hold {BLOCK}")
+    if arrays:
+        codes = quantize_blocks(np.concatenate(arrays), kind)[2].ravel()
+        yield from zip(places, np.split(codes, np.cumsum([len(x) for x in arrays])[:-1]))
+
+
 def block_codes(v: Column, kind: str) -> Column:
-    """The codes of an array of values, of a multiple of BLOCK, in a block format."""
+    """The codes of an array of values, of a multiple of BLOCK, in a block format; null for null."""
 
     @F.pandas_udf("array<int>")
     def codes(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else quantize_blocks(np.asarray(x, np.float32), kind)[2].ravel().astype(int).tolist() for x in rows], dtype=object)
+        out: list = [None] * len(rows)
+        for i, q in _batch_codes(rows, kind):
+            out[i] = q.astype(np.int32)
+        return pd.Series(out, dtype=object)
 
     return codes(v)
+
+
+def block_histogram(v: Column, kind: str) -> Column:
+    """The histogram of the codes of an array of values; null for null."""
+
+    @F.pandas_udf("array<long>")
+    def bins(rows: pd.Series) -> pd.Series:
+        out: list = [None] * len(rows)
+        for i, q in _batch_codes(rows, kind):
+            out[i] = histogram(q, kind)
+        return pd.Series(out, dtype=object)
+
+    return bins(v)

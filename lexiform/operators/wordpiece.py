@@ -207,6 +207,21 @@ def token_ids(docs: DataFrame, vocab: DataFrame, unk_id: int, compat: str = "con
     return docs.withColumn("ids", ids)
 
 
+def look_up(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """tokens (token, and other columns) with the id of each, null where the vocabulary (token, id) lacks it."""
+    return tokens.join(vocab.select("token", "id"), "token", "left")
+
+
+def known(tokens: DataFrame, vocab: DataFrame, yes: bool = True) -> DataFrame:
+    """The rows of tokens whose token the vocabulary holds, or, if not yes, lacks."""
+    return tokens.join(vocab.select("token"), "token", "left_semi" if yes else "left_anti")
+
+
+def names(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """ids (id, and other columns) with the token of each, null where the vocabulary lacks it."""
+    return ids.join(vocab.select("id", "token"), "id", "left")
+
+
 def prefix_tokens(vocab: DataFrame, prefix: str) -> DataFrame:
     """The tokens below a prefix, which is at a node of the vocabulary's tree if there are any, and whether it is a token itself."""
     below = vocab.where(F.col("token").startswith(prefix))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,15 +69,15 @@ def vocab_build(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_to_id(spark: SparkSession, d: str) -> DataFrame:
-    return _words(spark, d).join(_vocab(spark, d).withColumnRenamed("token", "word"), "word", "left").select("doc_id", "pos", "id")
+    return wordpiece.look_up(_words(spark, d).withColumnRenamed("word", "token"), _vocab(spark, d)).select("doc_id", "pos", "id")
 
 
 def has_token(spark: SparkSession, d: str) -> DataFrame:
-    return _words(spark, d).join(_vocab(spark, d).withColumnRenamed("token", "word"), "word", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"))
+    return wordpiece.known(_words(spark, d).withColumnRenamed("word", "token"), _vocab(spark, d)).groupBy("doc_id").agg(F.count("*").alias("known"))
 
 
 def unknown_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _words(spark, d).join(_vocab(spark, d).withColumnRenamed("token", "word"), "word", "left_anti").groupBy("doc_id").agg(F.count("*").alias("unknown"))
+    return wordpiece.known(_words(spark, d).withColumnRenamed("word", "token"), _vocab(spark, d), False).groupBy("doc_id").agg(F.count("*").alias("unknown"))
 
 
 def wordpiece_greedy(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +152,10 @@ def positions_roberta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def too_long(spark: SparkSession, d: str) -> DataFrame:
-    return _words(spark, d).groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", (F.col("n") + 2).alias("tokens"), (F.col("n") + 2 > 512).alias("too_long"))
+    """Sizes of all texts that have words, with a token before and after, against a model of 512."""
+    ids = api.wrapped(F.transform(T.split_spaces(T.clean_text(F.col("text"))), F.length), 101, 102)
+    out = api.sized(_t(spark, d, "documents").select("doc_id", ids.alias("ids")), 512)
+    return out.where("tokens > 2").select("doc_id", "tokens", "too_long")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -177,19 +182,21 @@ def activations(spark: SparkSession, d: str) -> DataFrame:
 
 def pools(spark: SparkSession, d: str) -> DataFrame:
     x = _vectors(spark, d).select("label", F.posexplode("v").alias("dim", "x"))
-    return x.groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("avg_pool"), F.round(F.max("x"), 6).alias("max_pool"))
+    return tensor.pooled(x, "label", "dim").select("label", "dim", F.round("avg_pool", 6).alias("avg_pool"), F.round("max_pool", 6).alias("max_pool"))
 
 
 def topk(spark: SparkSession, d: str) -> DataFrame:
-    x = _vectors(spark, d).select("vec_id", F.posexplode("v").alias("dim", "x"))
-    rank = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("x"), "dim"))
-    return x.withColumn("rank", rank).where("rank <= 3").select("vec_id", "rank", "dim")
+    out = _vectors(spark, d).select("vec_id", F.posexplode(encoder.top_places(F.col("v"), 3)).alias("rank", "dim"))
+    return out.select("vec_id", (F.col("rank") + 1).alias("rank"), "dim")
+
+
+def _codes(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    coded = _t(spark, d, "embeddings").select("vec_id", tensor.block_codes(F.col("embedding"), kind).alias("codes"))
+    return coded.select("vec_id", F.posexplode("codes").alias("dim", "q"))
 
 
 def quant_q8_0(spark: SparkSession, d: str) -> DataFrame:
-    x = _vectors(spark, d).select("vec_id", F.posexplode("v").alias("dim", "x")).withColumn("block", F.expr("dim div 32"))
-    scale = F.max(F.abs("x")).over(W.partitionBy("vec_id", "block")) / 127
-    return x.withColumn("d", scale).select("vec_id", "dim", F.when(F.col("d") > 0, F.round(F.col("x") / F.col("d"))).otherwise(0.0).cast("int").alias("q"))
+    return _codes(spark, d, "q8_0")
 
 
 def quant_size(spark: SparkSession, d: str) -> DataFrame:
@@ -230,21 +237,20 @@ def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
 def id_to_token(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the keys of lines as ids, and of ids that no token has."""
     asked = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 3).cast("int").alias("id")).distinct()
-    return asked.join(_vocab(spark, d), "id", "left").select("id", "token")
+    return wordpiece.names(asked, _vocab(spark, d)).select("id", "token")
 
 
 def wrap_cls_sep(spark: SparkSession, d: str) -> DataFrame:
     """Words by length as ids, between 101 and 102, with the flag of too long texts."""
     ids = api.wrapped(F.transform(T.split_spaces(T.clean_text(F.col("text"))), F.length), 101, 102)
-    out = _t(spark, d, "documents").select("doc_id", ids.alias("ids"))
-    return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), (F.size("ids") > 512).alias("too_long"))
+    out = api.sized(_t(spark, d, "documents").select("doc_id", ids.alias("ids")), 512)
+    return out.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "too_long")
 
 
 def vocab_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where each part name's bytes begin in their concatenation by brand."""
-    size = F.octet_length("p_name").cast("long")
-    w = W.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(W.unboundedPreceding, 0)
-    return _t(spark, d, "part").select("p_partkey", size.alias("len"), (F.sum(size).over(w) - size).alias("begin"))
+    sizes = _t(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), F.octet_length("p_name").cast("long").alias("len"))
+    return container.vocab_offsets(sizes, "p_brand").select(F.col("id").alias("p_partkey"), "len", "begin")
 
 
 def special_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -256,24 +262,21 @@ def special_ids(spark: SparkSession, d: str) -> DataFrame:
 def segments(spark: SparkSession, d: str) -> DataFrame:
     """Segment ids of turns (user 0, others 1), and whether a model of one segment takes them."""
     seg = F.when(F.col("role") == "user", 0).otherwise(1)
-    return _t(spark, d, "conversations").select("conv_id", "turn", seg.alias("segment"), (seg < 1).alias("ok"))
+    model = replace(encoder.synthetic(32), segments=1)
+    why = encoder.errors(model, F.array(F.lit(5)), F.array(seg))
+    return _t(spark, d, "conversations").select("conv_id", "turn", seg.alias("segment"), why.isNull().alias("ok"))
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
     """x W' + b with W[i,j] = ((31 i + 17 j) mod 13 - 6) / 64 and b[i] = i, i < 8."""
-    def out(i: Column) -> Column:
-        return tensor.total(F.transform(F.col("v"), lambda x, j: x * (((i * 31 + j * 17) % 13 - 6) / F.lit(64.0)))) + i
-
-    v = _vectors(spark, d).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), out).alias("y"))
+    weight = ((31 * np.arange(8)[:, None] + 17 * np.arange(64)) % 13 - 6) / 64
+    model = encoder.Encoder({"y.weight": weight, "y.bias": np.arange(8.0)}, 1, 0, 0)
+    v = _vectors(spark, d).select("vec_id", encoder.dense(model, F.col("v"), "y").alias("y"))
     return v.select("vec_id", F.posexplode("y").alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
 def quant_q4_0(spark: SparkSession, d: str) -> DataFrame:
-    x = _vectors(spark, d).select("vec_id", F.posexplode("v").alias("dim", "x")).withColumn("block", F.expr("dim div 32"))
-    w = W.partitionBy("vec_id", "block")
-    scale = F.max_by("x", F.struct(F.abs("x"), -F.col("dim"))).over(w) / -8
-    code = F.least(F.lit(15.0), F.floor(F.col("x") / F.col("d") + 8.5).cast("double"))
-    return x.withColumn("d", scale).select("vec_id", "dim", F.when(F.col("d") != 0, code).otherwise(8.0).cast("int").alias("q"))
+    return _codes(spark, d, "q4_0")
 
 
 _FORMATS = ("q8_0", "q4_0", "q4_1", "q5_0", "q5_1")
@@ -289,8 +292,8 @@ def quant_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def quant_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Codes of Q8_0 in 16 bins."""
-    bins = F.least(F.expr("(q + 127) * 16 div 255"), F.lit(15))
-    return quant_q8_0(spark, d).groupBy(bins.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    bins = _t(spark, d, "embeddings").select(F.posexplode(tensor.block_histogram(F.col("embedding"), "q8_0")).alias("bin", "n"))
+    return bins.groupBy("bin").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def attention_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -393,6 +396,8 @@ w AS (SELECT doc_id, i::INT AS pos, ws[i + 1] AS word FROM (SELECT doc_id, ws, u
 v AS (SELECT token, n, (row_number() OVER (ORDER BY length(token), unicode(token), n DESC, token))::INT AS id FROM (SELECT word AS token, count(DISTINCT doc_id) AS n FROM w GROUP BY 1) WHERE n >= 2)
 """
 _E = "WITH e AS (SELECT vec_id, label, (i - 1)::INT AS dim, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))\n"
+# Block formats are defined in 32-bit arithmetic.
+_E4 = _E.replace("::DOUBLE", "::REAL")
 # Symbols with a blank before and after each; merges replace pairs one after the other.
 _merged_sql = "regexp_replace(word, '(.)', ' \\1 ', 'g')"
 for _a, _b in _MERGES:
@@ -426,7 +431,7 @@ SELECT word, length(word) AS pieces, array_to_string(list_transform(range(1, len
     "activations": (activations, _E + "SELECT vec_id, dim, round(0.5e0 * x * (1 + tanh(0.7978845608e0 * (x + 0.044715e0 * x * x * x))), 6) AS gelu, round(greatest(x, 0e0), 6) AS relu, round(x / (1 + exp(-x)), 6) AS silu FROM e"),
     "pools": (pools, _E + "SELECT label, dim, round(avg(x), 6) AS avg_pool, round(max(x), 6) AS max_pool FROM e GROUP BY 1, 2"),
     "topk": (topk, _E + "SELECT vec_id, rank::INT AS rank, dim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, dim) AS rank FROM e) WHERE rank <= 3"),
-    "quant_q8_0": (quant_q8_0, _E + "SELECT vec_id, dim, (CASE WHEN d > 0 THEN round(x / d) ELSE 0 END)::INT AS q FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, dim // 32) / 127 AS d FROM e)"),
+    "quant_q8_0": (quant_q8_0, _E4 + "SELECT vec_id, dim, (CASE WHEN d > 0 THEN round(x / d) ELSE 0 END)::INT AS q FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, dim // 32) / 127::REAL AS d FROM e)"),
     "quant_size": (quant_size, "SELECT label, sum(len(embedding))::BIGINT * 4 AS f32_bytes, (sum(len(embedding))::BIGINT // 32 * 34)::BIGINT AS q8_0_bytes FROM embeddings GROUP BY 1"),
     "special_split": (
         special_split,
@@ -499,8 +504,8 @@ SELECT role, coalesce(stored, (SELECT id FROM v WHERE token = a), (SELECT id FRO
     ),
     "segments": (segments, "SELECT conv_id, turn, (CASE WHEN role = 'user' THEN 0 ELSE 1 END)::INT AS segment, role IS NOT DISTINCT FROM 'user' AS ok FROM conversations"),
     "dense": (dense, _E + "SELECT vec_id, i::INT AS dim, round(sum(x * (((i * 31 + dim * 17) % 13 - 6) / 64e0)) + i, 6) AS x FROM e, range(8) t(i) GROUP BY vec_id, i"),
-    "quant_q4_0": (quant_q4_0, _E + "SELECT vec_id, dim, (CASE WHEN d <> 0 THEN least(15, floor(x / d + 8.5e0)) ELSE 8 END)::INT AS q FROM (SELECT *, first_value(x) OVER (PARTITION BY vec_id, dim // 32 ORDER BY abs(x) DESC, dim) / -8e0 AS d FROM e)"),
-    "quant_histogram": (quant_histogram, _E + ", q AS (SELECT (CASE WHEN d > 0 THEN round(x / d) ELSE 0 END)::INT AS q FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, dim // 32) / 127 AS d FROM e)) SELECT least((q + 127) * 16 // 255, 15)::INT AS bin, count(*) AS n FROM q GROUP BY 1"),
+    "quant_q4_0": (quant_q4_0, _E4 + "SELECT vec_id, dim, (CASE WHEN d <> 0 THEN least(15, floor(x / d + 8.5::REAL)) ELSE 8 END)::INT AS q FROM (SELECT *, first_value(x) OVER (PARTITION BY vec_id, dim // 32 ORDER BY abs(x) DESC, dim) / -8::REAL AS d FROM e)"),
+    "quant_histogram": (quant_histogram, _E4 + ", q AS (SELECT (CASE WHEN d > 0 THEN round(x / d) ELSE 0 END)::INT AS q FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, dim // 32) / 127::REAL AS d FROM e)) SELECT least((q + 127) * 16 // 255, 15)::INT AS bin, count(*) AS n FROM q GROUP BY 1"),
     "quant_blocks": (
         quant_blocks,
         """WITH e AS (SELECT vec_id, (i - 1)::INT AS dim, embedding[i]::REAL AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
