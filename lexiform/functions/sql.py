@@ -1,7 +1,7 @@
 """The tokenizer and the encoder as functions of SQL.
 
-register() gives a session word_ids(array<string>), text_vector(array<int>) and mask_tokens(array<int>, int). Each works
-on Arrow batches; errors of a row are nulls, as encode() and fill_mask() in operators report them beside the results.
+register() gives a session word_ids(array<string>), text_vector(array<int>) and mask_tokens(array<int>, int), and
+register_texts() gives it text_words(string) and text_ids(string), which split texts. Each works on Arrow batches; errors of a row are nulls, as encode() and fill_mask() in operators report them beside the results.
 """
 
 from __future__ import annotations
@@ -14,9 +14,27 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lexiform.operators.encoder import POOLS, Encoder, best
-from lexiform.operators.wordpiece import ReferenceWalk
+from lexiform.operators.wordpiece import CASED, Pieces, Profile, ReferenceWalk, split_text
 
 NAMES = ("word_ids", "text_vector", "mask_tokens")
+TEXT_NAMES = ("text_words", "text_ids")
+
+
+def register_texts(spark: SparkSession, cut: Pieces, profile: Profile = CASED) -> list[str]:
+    """Register text_words and text_ids: a text's words under a profile, and the ids of their pieces; null texts give null."""
+    shared = spark.sparkContext.broadcast(cut)
+
+    @F.pandas_udf("array<string>")
+    def text_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([split_text(x, profile) if isinstance(x, str) else None for x in texts], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def text_ids(texts: pd.Series) -> pd.Series:
+        return pd.Series([[i for w in split_text(x, profile) for i in shared.value.ids(w)] if isinstance(x, str) else None for x in texts], dtype=object)
+
+    for name, function in zip(TEXT_NAMES, (text_words, text_ids), strict=True):
+        spark.udf.register(name, function)
+    return list(TEXT_NAMES)
 
 
 def register(spark: SparkSession, ids: dict[str, int] | None = None, unk_id: int = 0, model: Encoder | None = None, mask_id: int | None = None, pool: str = "cls") -> list[str]:

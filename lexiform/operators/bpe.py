@@ -79,21 +79,32 @@ class Bpe:
 
     def symbols(self, word: str) -> list[int]:
         """Ids of a word's characters; unknown ones become the unknown id, runs of it one where fused, or are left out."""
-        out: list[int] = []
+        return [i for i, _, _ in self.symbol_spans(word)]
+
+    def symbol_spans(self, word: str) -> list[tuple[int, int, int]]:
+        """(id, begin, stop) of the symbols, in characters; a fused unknown one spans its run."""
+        out: list[tuple[int, int, int]] = []
         unk = self.ids.get(self.unk) if self.unk is not None else None
         last_unknown = False
         for n, char in enumerate(word):
             got = self.ids.get((self.prefix if n else "") + char + (self.suffix if n == len(word) - 1 else ""))
             if got is None and unk is not None and not (self.fuse_unk and last_unknown):
-                out.append(unk)
+                out.append((unk, n, n + 1))
             elif got is not None:
-                out.append(got)
+                out.append((got, n, n + 1))
+            elif unk is not None:
+                out[-1] = (unk, out[-1][1], n + 1)
             last_unknown = got is None
         return out
 
     def merge(self, word: str, dropout: float = 0.0, seed: int = 0) -> list[int]:
         """Ids after all merges, lowest rank first and leftmost among equals; with dropout, merges are skipped at random."""
-        at = self.symbols(word)
+        return [i for i, _, _ in self.spans(word, dropout, seed)]
+
+    def spans(self, word: str, dropout: float = 0.0, seed: int = 0) -> list[tuple[int, int, int]]:
+        """(id, begin, stop) after all merges, in characters of the word."""
+        found = self.symbol_spans(word)
+        at, stops = [i for i, _, _ in found], [stop for _, _, stop in found]
         n = len(at)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue: list[tuple[int, int, int, int, int]] = []
@@ -120,13 +131,13 @@ class Bpe:
             j = following[i]
             if at[i] != a or j >= n or at[j] != b:
                 continue  # one of the two was merged elsewhere
-            at[i], at[j] = merged, -1
+            at[i], at[j], stops[i] = merged, -1, stops[j]
             following[i] = following[j]
             if following[j] < n:
                 before[following[j]] = i
             offer(before[i])
             offer(i)
-        return [x for x in at if x != -1]
+        return [(x, begin, stop) for x, (_, begin, _), stop in zip(at, found, stops) if x != -1]
 
 
 def model(vocab: DataFrame, merges: DataFrame, unk: str | None = None, fuse_unk: bool = True, prefix: str = "", suffix: str = "") -> Bpe:
@@ -145,6 +156,29 @@ def model(vocab: DataFrame, merges: DataFrame, unk: str | None = None, fuse_unk:
     return Bpe(ids, ranks, unk, fuse_unk, prefix, suffix)
 
 
+def token_spans(words: Column, model: Bpe) -> Column:
+    """(token, id, begin, stop) of an array of words, in order, in characters of the words one behind the other.
+
+    A null array gives null; an id without a token has the unknown token.
+    """
+
+    @F.pandas_udf("array<struct<token:string,id:int,begin:int,stop:int>>")
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def of(found: object) -> list[dict] | None:
+            if found is None:
+                return None
+            out, before = [], 0
+            for w in found:  # type: ignore[attr-defined]
+                out += [{"token": model.names.get(i, model.unk), "id": i, "begin": before + a, "stop": before + b} for i, a, b in model.spans(w)]
+                before += len(w)
+            return out
+
+        for series in batches:
+            yield pd.Series([of(x) for x in series], dtype=object)
+
+    return spans(words)
+
+
 def merged_ids(words: Column, encode: Callable[[str], list[int]]) -> Column:
     """Ids of an array of words, in order, null if one is negative; each task encodes a word once while it remembers it."""
 

@@ -12,10 +12,12 @@ with an inner piece. So a word's ids depend on the words before it, and each tex
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +49,12 @@ class Profile:
         return Profile(basic, cjk, lower, not (lower if strip_accents is None else strip_accents), basic)
 
 
+_DROPPED = regex.compile(rf"(?V1)[\x00\uFFFD]|[{T.WORD_CONTROL}]")
+_BLANKS = regex.compile(f"[{T.WORD_BLANK}]")
+_IDEOGRAPH = regex.compile("[" + regex.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), T.CJK) + "]")
+_MARKS = regex.compile(r"\p{Mn}")
+_PARTS = regex.compile(f"[{T.PUNCTUATION}]|[^{T.PUNCTUATION}]+")
+
 CASED = Profile.of()
 UNCASED = Profile.of(lower=True)
 
@@ -70,6 +78,25 @@ def basic_words(text: Column, profile: Profile = CASED, never_split: tuple[str,
     return F.flatten(F.zip_with(F.split(text, " "), F.split(plain, " "), parts))
 
 
+def split_text(text: str, profile: Profile = CASED, never_split: tuple[str, ...] = SPECIALS) -> list[str]:
+    """basic_words() of one text in Python, for functions that SQL calls; both must agree."""
+    text = unicodedata.normalize("NFC", text)
+    if profile.clean:
+        text = _BLANKS.sub(" ", _DROPPED.sub("", text))
+    if profile.cjk:
+        text = _IDEOGRAPH.sub(r" \g<0> ", text)
+    out: list[str] = []
+    for raw in text.split(" "):
+        if raw in never_split:
+            out.append(raw)
+            continue
+        word = raw.lower() if profile.lower else raw
+        if not profile.accents:
+            word = unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", word)))
+        out += _PARTS.findall(word) if profile.punctuation else [word] if word else []
+    return out
+
+
 class Pieces:
     """A vocabulary that cuts words by longest match."""
 

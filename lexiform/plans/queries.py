@@ -234,6 +234,21 @@ def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
     return words.select("word", F.array_join(F.transform(ids, lambda i: F.element_at(F.array(*map(F.lit, names)), i + 1)), " ").alias("symbols"))
 
 
+#: Merges of which some take what others need: "the" is t + he or th + e, "ing" i + ng or in + g, by rank.
+_RANKED = (("e", "r"), ("h", "e"), ("t", "h"), ("t", "he"), ("th", "e"), ("n", "g"), ("i", "n"), ("i", "ng"), ("in", "g"), ("e", "d"), ("s", "t"), ("t", "e"), ("st", "e"), ("a", "n"), ("an", "d"), ("l", "l"), ("ll", "l"))
+
+
+def bpe_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each distinct lower-case word of letters with the characters they span, by merges that compete for letters."""
+    names = list(dict.fromkeys([chr(97 + i) for i in range(26)] + [a + b for a, b in _RANKED]))
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(names)], "token string, id int")
+    merges = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(_RANKED)], "rank int, left string, right string")
+    words = _words(spark, d).where(F.col("word").rlike("^[a-z]+$")).select("word").distinct()
+    spans = bpe.token_spans(F.array("word"), bpe.model(vocab, merges))
+    rows = words.select("word", F.posexplode(spans).alias("pos", "span"))
+    return rows.select("word", "pos", "span.token", "span.id", "span.begin", "span.stop")
+
+
 def id_to_token(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the keys of lines as ids, and of ids that no token has."""
     asked = _t(spark, d, "lineitem").select((F.col("l_orderkey") * 3).cast("int").alias("id")).distinct()
@@ -454,6 +469,20 @@ c AS (SELECT doc_id, array_to_string(list_transform(range(0, length(h), 2), lamb
 SELECT doc_id, length(c) AS chars, md5(c) AS digest FROM c""",
     ),
     "bpe_merges": (bpe_merges, _W + f"SELECT word, {_merged_sql} AS symbols FROM (SELECT DISTINCT word FROM w WHERE regexp_full_match(word, '[a-z]+'))"),
+    "bpe_ranked": (
+        bpe_ranked,
+        _W.replace("WITH c AS", "WITH RECURSIVE c AS")
+        + f""", k AS (SELECT {[f"{a} {b}" for a, b in _RANKED]} AS pairs, {list(dict.fromkeys([chr(97 + i) for i in range(26)] + [a + b for a, b in _RANKED]))} AS names),
+r AS (
+  SELECT word, regexp_extract_all(word, '.') AS s, 0 AS step FROM (SELECT DISTINCT word FROM w WHERE regexp_full_match(word, '[a-z]+'))
+  UNION ALL
+  SELECT word, list_concat(list_concat(s[: i - 1], [s[i] || s[i + 1]]), s[i + 2 :]), step + 1 FROM (
+    SELECT word, s, step, list_min(list_transform(range(1, len(s)), lambda i: coalesce(nullif(list_position(pairs, s[i] || ' ' || s[i + 1]), 0), 1000) * 100000 + i)) AS first, first % 100000 AS i FROM r, k
+  ) WHERE first < 100000000
+), f AS (SELECT word, arg_max(s, step) AS s FROM r GROUP BY 1)
+SELECT word, (i - 1)::INT AS pos, s[i] AS token, (list_position(names, s[i]) - 1)::INT AS id, coalesce(list_sum(list_transform(s[: i - 1], lambda x: length(x))), 0)::INT AS begin, list_sum(list_transform(s[:i], lambda x: length(x)))::INT AS stop
+FROM (SELECT word, s, unnest(range(1, len(s) + 1)) AS i FROM f), k""",
+    ),
     "id_to_token": (id_to_token, _W + "SELECT a.id, token FROM (SELECT DISTINCT (l_orderkey * 3)::INT AS id FROM lineitem) a LEFT JOIN v ON v.id = a.id"),
     "wordpiece_documents": (
         wordpiece_documents,

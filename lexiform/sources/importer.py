@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiform.operators.encoder import BERT, GELU, PREFIX, ROBERTA
+from lexiform.operators.wordpiece import Profile
 from lexiform.sources.container import HPARAMS, MERGES, Container
 
 # Architectures that can be stored, by the class name of the model they come from.
@@ -25,6 +26,11 @@ HEAD_NAMES = {
     "decoder.weight": "predictions.decoder.weight",
     "decoder.bias": "predictions.decoder.bias",
 }
+# Keys of special ids and of the tokenizer's flags, below a container's namespace; the first architecture has all flags and no bos and eos.
+SPECIAL_KEYS = {"cls": "cls_id", "mask": "mask_id", "pad": "pad_id", "sep": "sep_id", "unk": "unk_id", "bos": "bos_id", "eos": "eos_id"}
+FLAG_KEYS = {"do_lower_case": "do_lower_case", "do_basic_tokenize": "do_basic_tokenize", "tokenize_chinese_chars": "tokenize_chinese_chars", "strip_accents": "strip_accent"}
+# Codes of the activations; a model of the first architecture has gelu.
+ACTIVATIONS = {"gelu": GELU, "relu": 1, "silu": 2, "gelu_new": 3}
 # Fixed value: a head's tensor that another one repeats.
 REPEATED = "predictions.bias"
 
@@ -62,6 +68,17 @@ def weight_plan(weights: DataFrame, arch: str, half: bool = True) -> DataFrame:
     return plan.where((F.col("part") != "head") | (F.col("stored") != PREFIX + REPEATED))
 
 
+def special_settings(c: Container) -> dict[str, int]:
+    """The stored ids of special tokens by role."""
+    return {role: int(c.get(c.own(key))) for role, key in SPECIAL_KEYS.items() if c.own(key) in c.kv}
+
+
+def profile(c: Container) -> Profile:
+    """What a container's tokenizer does to a text: lower case, ideographs and basic splitting unless a flag says otherwise, accents as lower case."""
+    flags = {setting: c.kv[c.own(key)][1] for setting, key in FLAG_KEYS.items() if c.own(key) in c.kv}
+    return Profile.of(flags.get("do_lower_case", True), flags.get("tokenize_chinese_chars", True), flags.get("strip_accents"), flags.get("do_basic_tokenize", True))
+
+
 def import_model(
     spark: SparkSession,
     kind: str,
@@ -72,20 +89,34 @@ def import_model(
     merges: list[tuple[str, str]] | None = None,
     half: bool = True,
     namespace: str = "model",
+    specials: dict[str, int | None] | None = None,
 ) -> Container:
-    """The container of a model of class ``kind``; other classes, activations other than gelu and missing settings are errors."""
+    """The container of a model of class ``kind``, with the ids of its special tokens by role and the tokenizer's flags among its settings.
+
+    Other classes, activations that the class can't have, roles that it hasn't and missing settings are errors. Null ids and flags are left out.
+    """
     if kind not in ARCHITECTURES:
         raise ValueError(f"models of class {kind} can't be stored")
-    if settings.get("hidden_act", "gelu") != "gelu":
-        raise ValueError("only the activation gelu is supported")
+    act = str(settings.get("hidden_act") or "gelu").lower()
+    if act not in ACTIVATIONS or (ARCHITECTURES[kind] == BERT and act != "gelu"):
+        raise ValueError(f"models of class {kind} with the activation {act} can't be stored")
     if settings.get("never_split"):
         raise ValueError("never_split must be empty")
     c = Container(namespace=namespace)
-    given = settings | {"bert_type": ARCHITECTURES[kind], "hidden_act": GELU}
+    given = settings | {"bert_type": ARCHITECTURES[kind], "hidden_act": ACTIVATIONS[act]}
     for key, default in HPARAMS.items():
         if (value := given.get(key, default)) is None:
             raise ValueError(f"setting {key} is missing")
         c.kv[c.own(key)] = ("f64" if isinstance(value, float) else "u32", value)
+    for role, i in (specials or {}).items():
+        if role not in SPECIAL_KEYS or (ARCHITECTURES[kind] == BERT and role in ("bos", "eos")):
+            raise ValueError(f"models of class {kind} have no special token {role}")
+        if i is not None:
+            c.kv[c.own(SPECIAL_KEYS[role])] = ("u32", i)
+    if ARCHITECTURES[kind] == BERT:
+        for setting, key in FLAG_KEYS.items():
+            if settings.get(setting) is not None:
+                c.kv[c.own(key)] = ("bool", bool(settings[setting]))
     c.put_vocab(vocab)
     if merges:
         asked = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(merges)], "rank int, left string, right string")

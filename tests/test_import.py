@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiform import log
+from lexiform import log, quantize
 from lexiform.functions import sql
-from lexiform.operators import encoder, wordpiece
+from lexiform.operators import bpe, encoder, wordpiece
 from lexiform.sources import container, importer, types
 
 SETTINGS = {"vocab_size": 4, "hidden_dim": 8, "n_layers": 1, "attn_heads": 2, "max_token": 16, "intermediate_dim": 16, "hidden_act": "gelu"}
@@ -101,6 +101,59 @@ def test_sql_functions(spark):
     assert got[0].m == [r.token_id for r in encoder.fill_mask(docs, model, 3, 3).orderBy("rank").collect()]
 
 
+def test_texts_from_sql(spark):
+    texts = [(1, "Na\u00efve caf\u00e9, [MASK] x\u4e2dy!"), (2, None), (3, ""), (4, "a\x07b\ufffd\u00a0c\td\u200be [SEP]. A\u030a")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    df.createOrReplaceTempView("sql_texts")
+    ids = {"[UNK]": 0, "[MASK]": 1, "[SEP]": 2} | {p + chr(c): 3 + 2 * (c - 97) + n for c in range(97, 123) for n, p in enumerate(("", "##"))}
+    vocab = spark.createDataFrame(list(ids.items()), "token string, id int")
+    for profile in (wordpiece.CASED, wordpiece.UNCASED, wordpiece.Profile.of(lower=True, basic=False), wordpiece.Profile.of(cjk=False, strip_accents=True)):
+        assert sql.register_texts(spark, wordpiece.pieces(vocab, 0), profile) == list(sql.TEXT_NAMES)
+        got = spark.sql("SELECT doc_id, text_words(text) AS words, text_ids(text) AS ids FROM sql_texts").collect()
+        cut = wordpiece.token_ids(df, vocab, 0, profile=profile).withColumn("words", wordpiece.basic_words(F.col("text"), profile)).collect()
+        assert sorted((r.doc_id, r.words or [], r.ids or []) for r in got) == sorted((r.doc_id, r.words or [], r.ids or []) for r in cut)
+        assert sum(r.ids is None for r in got) == 1
+
+
+def test_tokenizer_settings_are_stored(spark):
+    body = {"pooler.dense.bias": np.zeros(8, np.float32)}
+    flags = {"do_lower_case": False, "strip_accents": None, "tokenize_chinese_chars": False}
+    c = importer.import_model(spark, "BertModel", SETTINGS | flags, {"a": 0}, body, specials={"cls": 2, "pad": None})
+    assert importer.special_settings(c) == {"cls": 2} and importer.profile(c) == wordpiece.Profile.of(cjk=False)
+    assert importer.profile(container.Container()) == wordpiece.UNCASED
+    c = importer.import_model(spark, "RobertaModel", SETTINGS | flags | {"hidden_act": "relu"}, {"a": 0}, body, specials={"bos": 1})
+    assert importer.special_settings(c) == {"bos": 1} and c.hparams()["hidden_act"] == 1 and "model.do_lower_case" not in c.kv
+    with pytest.raises(ValueError, match="bos"):
+        importer.import_model(spark, "BertModel", SETTINGS, {"a": 0}, body, specials={"bos": 1})
+
+
+def test_bound_unused_and_missing_tensors(spark, tmp_path):
+    c = encoder.to_container(encoder.synthetic(4))
+    whole = list(c.tensors)
+    container.save(spark, str(tmp_path / "a"), c)
+    del c.tensors[whole[0]]
+    c.put("model.extra", np.zeros(3, np.float32))
+    container.save(spark, str(tmp_path / "b"), c)
+    found = container.binding(container.tensors(spark, str(tmp_path)), whole).collect()
+    odd = sorted((r.path[-1], r.name, r.state) for r in found if r.state != "bound")
+    assert odd == sorted([("b", "model.extra", "unused"), ("b", whole[0], "missing")]) and len(found) == 2 * len(whole) + 1
+
+
+def test_quantize_from_the_command_line(spark, tmp_path, capsys):
+    container.save(spark, str(tmp_path / "m"), encoder.to_container(encoder.synthetic(4, hidden=32, inner=64)))
+    assert quantize.main([str(tmp_path / "m"), str(tmp_path / "q"), "q8_0"]) == 0
+    assert "total: " in capsys.readouterr().out
+    kinds = {k for k, d, _ in container.load(spark, str(tmp_path / "q")).tensors.values() if len(d) == 2}
+    assert kinds == {"Q8_0"}
+    assert quantize.main([str(tmp_path / "nothing"), str(tmp_path / "x"), "Q8_0"]) == 1 and not (tmp_path / "x").exists()
+
+
+def test_spans_of_unknown_characters():
+    model = bpe.Bpe({"?": 0, "a": 1, "b": 2, "ab": 3}, {(1, 2): (0, 3)}, unk="?")
+    assert model.spans("xxabya") == [(0, 0, 2), (3, 2, 4), (0, 4, 5), (1, 5, 6)]
+    assert bpe.Bpe(model.ids, model.ranks).spans("xab") == [(3, 1, 3)]
+
+
 def test_log():
     out = io.StringIO()
     log.set_file(out)
