@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
@@ -43,6 +43,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiform.llm.common import dropped, sampled, table, written
 
@@ -318,7 +319,7 @@ def text_margins(rater: Rater, memory: dict[str, float], texts: list[dict[str, i
     return out
 
 
-def chunks(texts: list[str]) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str]) -> Iterator[list[str]]:
     """The texts in order, in lists of at most CHUNK characters or one text."""
     part: list[str] = []
     size = 0
@@ -332,6 +333,27 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def scorer(model: Model) -> Callable[[Iterable], np.ndarray]:
+    """Scores of texts (what isn't a string has no words), a chunk of them at a time; words are remembered from call to call."""
+    rater, memory = Rater(model), {}
+
+    def scores(texts: Iterable) -> np.ndarray:
+        if model.constant is not None:
+            return np.array([model.constant for _ in texts], float)
+        found = (text_margins(rater, memory, [words_of(t) for t in part]) for part in chunks(t if isinstance(t, str) else "" for t in texts))
+        return score_of(model, np.array([x for part in found for x in part], float))
+
+    return scores
+
+
+def scored_batches(model: Model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a key and a text as the key and its score; texts leave the batch one by one, so no more than a chunk is held as strings."""
+    scores = scorer(model)
+    for b in batches:
+        got = scores(t.as_py() for t in b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=[b.schema.names[0], "toxicity"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on about ``sample`` labelled rows that are not held out."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -390,20 +412,23 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, memory = shared.value, {}
-        rater = Rater(m)
+        scores = scorer(shared.value)
         for series in texts:
-            if m.constant is not None or not len(series):
-                yield pd.Series([m.constant or 0.0] * len(series), dtype="float64")
-                continue
-            found = (text_margins(rater, memory, [words_of(t) for t in part]) for part in chunks([t if isinstance(t, str) else "" for t in series]))
-            yield pd.Series(score_of(m, np.array([x for part in found for x in part])))
+            yield pd.Series(scores(series), dtype="float64")
 
     return docs.withColumn("toxicity", toxicity("text"))
 
 
+def score_keys(docs: DataFrame, key: str, model: Model) -> DataFrame:
+    """The key and the toxicity of every row, as score_texts() has it; no row waits in the JVM for its score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    narrow = docs.select(key, "text")
+    schema = StructType([narrow.schema[0], StructField("toxicity", DoubleType())])
+    return narrow.mapInArrow(lambda batches: scored_batches(shared.value, batches), schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score_keys(docs, "doc_id", fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexiform.llm import toxicity
@@ -91,3 +94,31 @@ def test_samples_of_any_share(spark):
         n = rows.where(toxicity.sampled(toxicity.F.col("h"), share)).count()
         assert abs(n - 100_000 * min(1, share)) <= 5 * (100_000 * min(1, share)) ** 0.5
     assert 0 < int(1e-12 * 2.0**64)
+
+
+def test_rows_of_the_query_do_not_wait_in_the_jvm_for_their_scores(world, spark, tmp_path, monkeypatch):
+    text, model, docs, labels = world
+    odd = [(1, None), (None, text(30, *INSULTS)), (2, ""), (2, "12 . 3"), (3, text(5) * 400), (3, text(9, "blimflag"))]
+    docs.limit(50).union(spark.createDataFrame(odd, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for m in (model, toxicity.Model({}, 0.0, constant=0.25)):
+        monkeypatch.setattr(toxicity, "fit", lambda *_: m)
+        got = toxicity.op4_toxicity(spark, str(tmp_path))
+        assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # it queues a batch's rows, texts included
+        want = toxicity.score_texts(spark.read.parquet(f"{tmp_path}/documents.parquet"), m).select("doc_id", "toxicity")
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert got.select("doc_id", "score").schema["score"].dataType == want.schema["toxicity"].dataType and got.schema["doc_id"].dataType == want.schema["doc_id"].dataType
+        assert sorted((tuple(r) for r in got.select("doc_id", "score").collect()), key=key) == sorted((tuple(r) for r in want.collect()), key=key)
+
+
+def test_scoring_holds_a_chunk_of_a_batch_as_strings(world):
+    text, model, _, _ = world
+    long = " ".join(text(400) for _ in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([f"{i} {long}" for i in range(100)])], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in toxicity.scored_batches(model, [batch]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 100 and batch.nbytes > 15 * toxicity.CHUNK and most < batch.nbytes / 2
