@@ -97,14 +97,20 @@ class Encoder:
 
 
 def position_ids(ids: Column, pad_id: int | None = None) -> Column:
-    """The positions of an array of token ids; with a padding id they skip it and begin behind it."""
-    model = Encoder({}, 1, 0, 0, pad_id=pad_id)
-
-    @F.pandas_udf("array<long>")
-    def positions(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else model.positions(np.asarray(x, int)).tolist() for x in rows], dtype=object)
-
-    return positions(ids)
+    """The positions of an array of token ids; with a padding id they skip it and begin behind it. No text leaves the JVM."""
+    if pad_id is None:
+        return F.transform(ids, lambda _, i: i.cast("long"))
+
+    def numbered(x: Column) -> Column:
+        pad = F.lit(pad_id)
+        real = F.array_compact(F.transform(x, lambda t, i: F.when(~t.eqNullSafe(pad), i)))
+        skipped = F.array_compact(F.transform(x, lambda t, i: F.when(t.eqNullSafe(pad), i)))
+        at = F.transform(real, lambda i, n: F.struct(i.alias("i"), (n.cast("long") + pad_id + 1).alias("at")))
+        # Two runs that are sorted already: putting them in order is a merge.
+        return F.transform(F.sort_array(F.concat(at, F.transform(skipped, lambda i: F.struct(i.alias("i"), F.lit(0).cast("long").alias("at"))))), lambda s: s["at"])
+
+    # As a lambda's variable the array is computed once.
+    return F.element_at(F.transform(F.array(ids), numbered), 1)
 
 
 def errors(model: Encoder, ids: Column, segments: Column | None = None) -> Column:
