@@ -1,10 +1,12 @@
-"""Unicode scalar functions as Column builders (NFC and NFD as Arrow UDFs, as Spark has no builtin)."""
+"""Unicode scalar functions as Column builders (NFC and NFD as Arrow UDFs, as Spark has no builtin, for the texts that need them)."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +20,33 @@ PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+#: Signs and letters beyond ASCII, all assigned, without blanks, controls and ideographs.
+PLAIN = r"\x{00A1}-\x{00AC}\x{00AE}-\x{0377}"
+#: Characters that are composed already and compose with none before or behind them in a text of them: without U+0130, whose lower case has a mark.
+SIMPLE = r"\x{0000}-\x{012F}\x{0131}-\x{02FF}\x{0400}-\x{0482}\x{200B}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{4E00}-\x{9FFF}\x{FFFD}"
+#: Characters whose normal form Python holds at a time, or a text if that has more.
+TOGETHER = 1 << 20
 
 
-@F.pandas_udf(T.StringType())
-def _nfd(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFD", x), na_action="ignore")
+def _normal(form: str):
+    @F.arrow_udf(T.StringType())
+    def normal(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts, held, size = [], [], 0
+            for x in texts:
+                if x := x.as_py():
+                    size += len(x)
+                    x = unicodedata.normalize(form, x)
+                held.append(x)
+                if size > TOGETHER:
+                    parts.append(pa.array(held, pa.string()))
+                    held, size = [], 0
+            yield pa.concat_arrays([*parts, pa.array(held, pa.string())])
+
+    return normal
+
+
+_nfc, _nfd = _normal("NFC"), _normal("NFD")
 
 
 def nfc(c: Column) -> Column:
@@ -36,9 +57,35 @@ def nfd(c: Column) -> Column:
     return _nfd(c)
 
 
+def is_simple(c: Column) -> Column:
+    """Whether a text has SIMPLE characters only, so that it is its own NFC; null for null."""
+    return ~c.rlike(rf"[\x{{0130}}-\x{{10FFFF}}&&[^{SIMPLE}]]")  # Latin letters are through with one comparison
+
+
+def _bare() -> tuple[str, str]:
+    """The SIMPLE characters with marks, and what is left of each."""
+    marked, left = [], []
+    for begin, end in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", SIMPLE):
+        for x in map(chr, range(int(begin, 16), int(end, 16) + 1)):
+            bare = "".join(y for y in unicodedata.normalize("NFD", x) if unicodedata.category(y) != "Mn")
+            if bare != x:
+                marked.append(x)
+                left.append(bare)
+    return "".join(marked), "".join(left)
+
+
+_MARKED = _bare()
+
+
+def strip_simple(c: Column) -> Column:
+    """strip_accents() of a simple text."""
+    return F.when(c.rlike(r"[^\x{0000}-\x{007F}]"), F.translate(c, *_MARKED)).otherwise(c)
+
+
 def strip_accents(c: Column) -> Column:
-    """NFD, combining marks dropped, NFC."""
-    return _nfc(F.regexp_replace(_nfd(c), r"\p{Mn}", ""))
+    """NFD, combining marks dropped, NFC; only texts with other than SIMPLE characters go to Python."""
+    simple = is_simple(c)
+    return F.when(simple, strip_simple(c)).otherwise(_nfc(F.regexp_replace(_nfd(F.when(~simple, c)), r"\p{Mn}", "")))
 
 
 def is_whitespace(c: Column) -> Column:
@@ -91,19 +138,24 @@ def regex_split(c: Column, pattern: str) -> Column:
 
 def clean_text(c: Column, cjk: bool = True) -> Column:
     """Drops NUL, U+FFFD and control characters, makes blanks spaces, sets CJK ideographs apart."""
+    # A text of Latin letters and signs, most often, has nothing but tabs and line ends to change.
+    plain = ~c.rlike(rf"[\x{{0000}}-\x{{001F}}\x{{007F}}-\x{{10FFFF}}&&[^\t\n\r{PLAIN}]]")
+    ends = c
+    for end in "\t\n\r":
+        ends = F.replace(ends, F.lit(end), F.lit(" "))
     c = F.regexp_replace(c, r"[\x{0000}\x{FFFD}]", "")
-    c = F.regexp_replace(c, f"[{WORD_CONTROL}]", "")
-    c = F.regexp_replace(c, f"[{WORD_BLANK}]", " ")
-    return set_apart(c) if cjk else c
+    c = F.regexp_replace(c, rf"[\x{{0000}}-\x{{001F}}\x{{007F}}-\x{{10FFFF}}&&[{WORD_CONTROL}]]", "")
+    c = F.regexp_replace(c, rf"[{WORD_BLANK}&&[^ ]]", " ")
+    return F.when(plain, ends).otherwise(set_apart(c) if cjk else c)
 
 
 def set_apart(c: Column) -> Column:
     """CJK ideographs between spaces."""
-    return F.regexp_replace(c, f"([{CJK}])", " $1 ")
+    return F.regexp_replace(c, rf"([\x{{3400}}-\x{{10FFFF}}&&[{CJK}]])", " $1 ")
 
 
 def split_spaces(c: Column) -> Column:
-    return F.filter(F.split(c, " "), lambda w: w != "")
+    return F.array_remove(F.split(c, " "), "")
 
 
 def split_punctuation(c: Column) -> Column:

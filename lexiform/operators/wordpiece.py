@@ -16,9 +16,11 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ INNER = "##"
 #: Vocabulary rows that the driver takes; more is an error.
 VOCAB_ROWS = 5_000_000
 #: Words a task remembers the pieces of.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
+#: Words whose ids a task looks up at a time.
+TOGETHER = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -61,21 +65,34 @@ UNCASED = Profile.of(lower=True)
 
 def basic_words(text: Column, profile: Profile = CASED, never_split: tuple[str, ...] = SPECIALS) -> Column:
     """Words of a text: composed, cleaned, split at blanks; unless protected as a whole, lower-cased, stripped, split at punctuation."""
-    odd = T.nfc(F.when(text.rlike(r"[^\x{0000}-\x{007F}]"), text))  # other texts don't travel
-    text = F.coalesce(odd, text)
-    if profile.clean:
-        text = T.clean_text(text, profile.cjk)
-    else:
-        text = T.set_apart(text) if profile.cjk else text
-    plain = F.lower(text) if profile.lower else text
-    plain = plain if profile.accents else F.coalesce(T.strip_accents(F.when(plain.rlike(r"[^\x{0000}-\x{007F}]"), plain)), plain)
+
+    def cleaned(x: Column) -> Column:
+        if profile.clean:
+            return T.clean_text(x, profile.cjk)
+        return T.set_apart(x) if profile.cjk else x
 
     def parts(raw: Column, word: Column) -> Column:
         cut = T.split_punctuation(word) if profile.punctuation else F.filter(F.array(word), lambda w: w != "")
         return F.when(raw.isin(*never_split), F.array(raw)).otherwise(cut) if never_split else cut
 
-    # Lower case and stripping make and lose no spaces, so the words of both lie side by side.
-    return F.flatten(F.zip_with(F.split(text, " "), F.split(plain, " "), parts))
+    def cut(x: Column, plain: Column) -> Column:
+        # Lower case and stripping make and lose no spaces, so the words of both lie side by side.
+        return F.flatten(F.zip_with(F.split(x, " "), F.split(plain, " "), parts))
+
+    def simple(x: Column) -> Column:
+        """The words of a simple text; as lambdas' variables each step is computed once, and nothing goes to Python."""
+        if not profile.lower and profile.accents:
+            return F.flatten(F.transform(F.split(cleaned(x), " "), lambda w: parts(w, w)))
+        plain = (lambda t: F.lower(t)) if profile.lower else (lambda t: t)
+        bare = plain if profile.accents else (lambda t: T.strip_simple(plain(t)))
+        return F.element_at(F.transform(F.array(cleaned(x)), lambda t: cut(t, bare(t))), 1)
+
+    # Lower case of a simple text is simple but for one letter, which is_simple() leaves out.
+    easy = T.is_simple(text)
+    odd = cleaned(T.nfc(F.when(~easy, text)))
+    plain = F.lower(odd) if profile.lower else odd
+    plain = plain if profile.accents else T.strip_accents(plain)
+    return F.when(easy, simple(text)).otherwise(cut(odd, plain))
 
 
 def split_text(text: str, profile: Profile = CASED, never_split: tuple[str, ...] = SPECIALS) -> list[str]:
@@ -131,27 +148,45 @@ def pieces(vocab: DataFrame, unk_id: int) -> Pieces:
     return Pieces({r["token"]: r["id"] for r in rows}, unk_id)
 
 
-def piece_ids(words: Column, cut: Pieces) -> Column:
-    """Ids of an array of words, in order; a null array gives null."""
+def chunks(found: pa.ListArray) -> Iterator[pa.ListArray]:
+    """The rows of an array of arrays, in slices of TOGETHER words or so."""
+    sizes = np.diff(found.offsets.to_numpy())
+    marks = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1
+    for at, to in zip([0, *marks.tolist()], [*marks.tolist(), len(found)]):
+        yield found.slice(at, to - at)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict[str, list[int]] = {}
 
-        def of(found: object) -> list[int] | None:
-            if found is None:
-                return None
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            out: list[int] = []
-            for w in found:  # type: ignore[attr-defined]
-                if w not in memory:
-                    memory[w] = cut.ids(w)
-                out += memory[w]
-            return out
-
-        for series in batches:
-            yield pd.Series([of(x) for x in series], dtype=object)
+def piece_ids(words: Column, cut: Pieces) -> Column:
+    """Ids of an array of words, in order; a null array gives null. Python holds a chunk's distinct words only."""
+    shared = SparkSession.active().sparkContext.broadcast(cut)
+
+    def of_chunk(part: pa.ListArray, memory: dict[str, list[int]]) -> pa.ListArray:
+        flat = part.flatten().dictionary_encode()
+        # Rows' bounds among the words; a null row has none.
+        bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])
+        ids = []
+        for w in flat.dictionary.to_pylist():
+            if w not in memory:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[w] = shared.value.ids(w)
+            ids.append(memory[w])
+        # Words follow each other as runs of ids; a run begins where its word's does in the distinct words' ids.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        pool = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n)
+        offsets = pa.array(ends[bounds].astype(np.int32), mask=np.append(part.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(pool[places], pa.int32()))
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory: dict[str, list[int]] = {}
+        for found in batches:
+            parts = [of_chunk(part, memory) for part in chunks(found)]
+            yield pa.concat_arrays(parts)
 
     return ids(words)
 
@@ -198,10 +233,11 @@ class ReferenceWalk:
 def reference_ids(words: Column, walk: ReferenceWalk) -> Column:
     """ReferenceWalk over arrays of words, in Arrow batches; a null array gives null."""
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            yield pd.Series([None if x is None else walk.ids(list(x)) for x in series], dtype=object)
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in batches:
+            parts = [pa.array([None if x is None else walk.ids(x) for x in part.to_pylist()], pa.list_(pa.int32())) for part in chunks(found)]
+            yield pa.concat_arrays(parts)
 
     return ids(words)
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiform.operators import encoder
+from lexiform.functions import text as T
+from lexiform.operators import encoder, wordpiece
 
 
 def _plan(df) -> str:
@@ -21,3 +26,38 @@ def test_positions_stay_out_of_python(spark, pad):
     assert "Python" not in _plan(df) and df.schema["at"].dataType.simpleString() == "array<bigint>"
     model = encoder.Encoder({}, 1, 0, 0, pad_id=pad)
     assert {r.i: r["at"] for r in df.collect()} == {i: None if x is None else model.positions(np.asarray(x, int)).tolist() for i, x in enumerate(texts)}
+
+
+def test_a_batch_of_words_is_cut_in_chunks(spark, monkeypatch):
+    assert wordpiece.piece_ids(F.col("w"), wordpiece.Pieces({}, 0))._jc.toString()
+    cut = wordpiece.Pieces({"a": 1, "ab": 2, "##c": 3, "[MASK]": 4}, 0)
+    rows = [None, [], ["a"], ["abc", "[MASK]", "", "x"]] + [["ab", "acc"] * n for n in (1, 40, 3)]
+    seen = []
+    for arr in wordpiece.chunks(pa.array(rows, pa.list_(pa.string()))):
+        seen.append(arr.to_pylist())
+    assert sum(seen, []) == rows
+    monkeypatch.setattr(wordpiece, "TOGETHER", 8)
+    parts = [x.to_pylist() for x in wordpiece.chunks(pa.array(rows, pa.list_(pa.string())).slice(1))]
+    assert len(parts) > 2 and sum(parts, []) == rows[1:]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, w array<string>")
+    got = {r.i: r.ids for r in df.select("i", wordpiece.piece_ids(F.col("w"), cut).alias("ids")).collect()}
+    assert got == {i: None if x is None else sum((cut.ids(w) for w in x), []) for i, x in enumerate(rows)}
+
+
+def test_simple_texts_are_those_that_normal_forms_leave_alone(spark):
+    simple = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), T.SIMPLE) + "]")
+    inside = [c for c in map(chr, range(0x110000)) if simple.match(c)]
+    second = {unicodedata.normalize("NFD", c)[1:] for c in map(chr, range(0x110000))}
+    bare = dict(zip(*T._MARKED))
+    for c in inside:
+        stripped = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        assert unicodedata.normalize("NFC", c) == c and bare.get(c, c) == unicodedata.normalize("NFC", stripped) and c not in second
+        assert unicodedata.normalize("NFC", c.lower()) == c.lower() and unicodedata.category(c) != "Mn"
+
+
+def test_simple_and_other_texts_give_the_same_words(spark):
+    texts = [None, "", "Naïve, [MASK] ÅNGSTRÖM x\u4e2dy", "Й [MASK]. ß\u00a0Ⱥ\u200b", "İ a\u0301b", "\u1100\u1161 Ω", "tab\there\r\nand\ufffd \x07 there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for profile in (wordpiece.CASED, wordpiece.UNCASED, wordpiece.Profile.of(lower=True, strip_accents=False), wordpiece.Profile.of(cjk=False, strip_accents=True), wordpiece.Profile.of(basic=False)):
+        got = {r.i: r.w for r in df.select("i", wordpiece.basic_words(F.col("text"), profile).alias("w")).collect()}
+        assert got == {i: None if x is None else wordpiece.split_text(x, profile) for i, x in enumerate(texts)}
