@@ -280,6 +280,18 @@ def known(tokens: DataFrame, vocab: DataFrame, yes: bool = True) -> DataFrame:
     return tokens.join(vocab.select("token"), "token", "left_semi" if yes else "left_anti")
 
 
+def only_here(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n): how often tokens (token, key) that no second document has occur in their own; a null key is no document.
+
+    A token's rows are summed where they are read, so neither the rows nor a frequent token's go through a shuffle.
+    """
+    own = F.col(key).isNotNull()
+    each = tokens.groupBy("token").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.when(own, 1)).alias("own"), F.count(F.when(~own, 1)).alias("loose"))
+    kind = tokens.schema[key].dataType
+    rows = F.array(F.struct(F.col("first").alias(key), F.col("own").alias("n")), F.struct(F.lit(None).cast(kind).alias(key), F.col("loose").alias("n")))
+    return each.where("first <=> last").select(F.inline(rows)).where("n > 0")
+
+
 def names(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """ids (id, and other columns) with the token of each, null where the vocabulary lacks it."""
     return ids.join(vocab.select("id", "token"), "id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
 from lexiform.operators import encoder, wordpiece
+from lexiform.plans.queries import PAIRS, REJECTED
 
 
 def _plan(df) -> str:
@@ -61,3 +63,21 @@ def test_simple_and_other_texts_give_the_same_words(spark):
     for profile in (wordpiece.CASED, wordpiece.UNCASED, wordpiece.Profile.of(lower=True, strip_accents=False), wordpiece.Profile.of(cjk=False, strip_accents=True), wordpiece.Profile.of(basic=False)):
         got = {r.i: r.w for r in df.select("i", wordpiece.basic_words(F.col("text"), profile).alias("w")).collect()}
         assert got == {i: None if x is None else wordpiece.split_text(x, profile) for i, x in enumerate(texts)}
+
+
+def _tables(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_known_and_unknown_words_without_a_join(spark, tmp_path):
+    d = _tables(spark, tmp_path, [(1, "a b b c"), (2, "a d"), (None, "a z z c b"), (3, ""), (4, None), (5, "q\ta")])
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    for name in ("has_token", "unknown_tokens", "too_long", "punct_split", "positions_roberta", "ws_split", "token_to_id"):
+        query, sql = PAIRS[name]
+        got = query(spark, d)
+        want = con.sql(sql)
+        assert sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(repr, want.fetchall())), name
+        if name in ("has_token", "unknown_tokens"):
+            assert "Join" not in _plan(got)
