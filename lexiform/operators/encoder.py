@@ -68,18 +68,25 @@ class Encoder:
         spread = x - x.mean(-1, keepdims=True)
         return spread / np.sqrt((spread**2).mean(-1, keepdims=True) + self.eps) * self.weights[name + ".weight"] + self.weights[name + ".bias"]
 
-    def hidden(self, ids: list[int] | np.ndarray, segments: list[int] | np.ndarray | None = None, layer: int = -1) -> np.ndarray:
-        """The states of all tokens, of one text or of several of one length, after a layer; 0 is the embeddings, -1 the last."""
+    def hidden(self, ids: list[int] | np.ndarray, segments: list[int] | np.ndarray | None = None, layer: int = -1, only: np.ndarray | None = None) -> np.ndarray:
+        """The states of all tokens, of one text or of several of one length, after a layer; 0 is the embeddings, -1 the last.
+
+        With only, a place for each of several texts, of the tokens at these places alone: the last layer looks from nowhere else.
+        """
         at = np.asarray(ids)
         w = self.weights
         kinds = np.zeros(at.shape, int) if segments is None else np.asarray(segments)
         x = w["embeddings.word_embeddings.weight"][at] + w["embeddings.position_embeddings.weight"][self.positions(at)] + w["embeddings.token_type_embeddings.weight"][kinds]
         x = self.norm(x, "embeddings.LayerNorm")
-        for n in range(resolve_layer(layer, self.layers)):
+        last = resolve_layer(layer, self.layers)
+        if only is not None and not last:
+            return x[np.arange(len(x)), only][:, None]
+        for n in range(last):
             name = f"encoder.layer.{n}"
-            q, k, v = (self.dense(x, f"{name}.attention.self.{part}").reshape(*at.shape, self.heads, -1).swapaxes(-3, -2) for part in ("query", "key", "value"))
+            own = x[np.arange(len(x)), only][:, None] if only is not None and n == last - 1 else x
+            q, k, v = (self.dense(of, f"{name}.attention.self.{part}").reshape(*of.shape[:-1], self.heads, -1).swapaxes(-3, -2) for part, of in (("query", own), ("key", x), ("value", x)))
             seen = softmax(q @ k.swapaxes(-1, -2) / np.sqrt(q.shape[-1])) @ v
-            x = self.norm(x + self.dense(seen.swapaxes(-3, -2).reshape(*at.shape, -1), f"{name}.attention.output.dense"), f"{name}.attention.output.LayerNorm")
+            x = self.norm(own + self.dense(seen.swapaxes(-3, -2).reshape(*own.shape[:-1], -1), f"{name}.attention.output.dense"), f"{name}.attention.output.LayerNorm")
             x = self.norm(x + self.dense(gelu(self.dense(x, f"{name}.intermediate.dense")), f"{name}.output.dense"), f"{name}.output.LayerNorm")
         return x
 
@@ -124,6 +131,36 @@ def errors(model: Encoder, ids: Column, segments: Column | None = None) -> Colum
     return why(ids.cast("array<int>"), (F.lit(None) if segments is None else segments).cast("array<int>"))
 
 
+def why_not(model: Encoder, ids: Column, mask_id: int | None = None) -> Column:
+    """errors() of texts of one segment without Python, and with a mask's id also those of texts that haven't exactly one."""
+    rows = {n: len(model.weights[f"embeddings.{n}_embeddings.weight"]) for n in ("word", "position")}
+
+    def why(x: Column) -> Column:
+        n = F.size(x)
+        last = n - 1 if model.pad_id is None else F.size(F.filter(x, lambda t: t != model.pad_id)) + model.pad_id
+        if model.pad_id is not None:
+            last = F.when(F.array_max(x) != F.array_min(x), last).when(F.array_max(x) == model.pad_id, 0).otherwise(last)
+        out = F.when(x.isNull() | (n <= 0), "no tokens").when((n > model.max_tokens) | (last >= rows["position"]), "too many tokens")
+        out = out.when((F.array_min(x) < 0) | (F.array_max(x) >= rows["word"]), "unknown token id")
+        if mask_id is None:
+            return out
+        masks = F.size(F.filter(x, lambda t: t == mask_id))
+        return out.when(masks != 1, F.concat(masks.cast("string"), F.lit(" masks")))
+
+    # As a lambda's variable the array is computed once.
+    return F.element_at(F.transform(F.array(ids), why), 1)
+
+
+def taken(df: DataFrame, model: Encoder, mask_id: int | None = None) -> DataFrame:
+    """The rows (ids, and other columns) that a model takes; no others travel to Python."""
+    return df.where(why_not(model, F.col("ids"), mask_id).isNull())
+
+
+def rejected(df: DataFrame, model: Encoder, mask_id: int | None = None) -> DataFrame:
+    """The other rows, with the error that encode() or, with a mask's id, fill_mask() gives each; the model isn't run."""
+    return df.withColumn("error", why_not(model, F.col("ids"), mask_id)).where("error is not null")
+
+
 def dense(model: Encoder, v: Column, name: str) -> Column:
     """A model's dense layer over arrays of numbers, in Arrow batches; null for null."""
     shared = SparkSession.active().sparkContext.broadcast(model)
@@ -251,7 +288,8 @@ def encode(df: DataFrame, model: Encoder, pool: str = "cls", layer: int = -1, ke
             takes = [None if w else ids for w, ids in zip(why, b["ids"])]
             for places in together(takes, m.heads):
                 kinds = [np.zeros(len(takes[i]), int) if b["segments"].iloc[i] is None else b["segments"].iloc[i] for i in places]
-                found = m.pooled(m.hidden(np.stack([takes[i] for i in places]), np.stack(kinds), layer), pool)
+                only = np.zeros(len(places), int) if pool == "cls" else None
+                found = m.pooled(m.hidden(np.stack([takes[i] for i in places]), np.stack(kinds), layer, only), pool)
                 for i, x in zip(places, found):
                     out[i] = np.atleast_2d(x).astype(float).tolist()
             rows = list(zip(b[key], why, out))
@@ -275,8 +313,8 @@ def fill_mask(df: DataFrame, model: Encoder, mask_id: int, k: int = 3, key: str
             rows = [(key_, w, None, None, None) for key_, w in zip(b[key], why) if w]
             takes = [None if w else ids for w, ids in zip(why, b["ids"])]
             for places in together(takes, m.heads):
-                states = m.hidden(np.stack([takes[i] for i in places]))
-                for i, p in zip(places, m.vocabulary(states[np.arange(len(places)), [masks[i][0] for i in places]])):
+                states = m.hidden(np.stack([takes[i] for i in places]), only=np.array([masks[i][0] for i in places]))
+                for i, p in zip(places, m.vocabulary(states[:, 0])):
                     rows += [(b[key].iloc[i], None, n + 1, int(x), float(p[x])) for n, x in enumerate(best(p, k))]
             yield pd.DataFrame(rows, columns=[key, "error", "rank", "token_id", "prob"]).astype({"rank": "Int32", "token_id": "Int32"})
 

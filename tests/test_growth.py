@@ -81,3 +81,29 @@ def test_known_and_unknown_words_without_a_join(spark, tmp_path):
         assert sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(repr, want.fetchall())), name
         if name in ("has_token", "unknown_tokens"):
             assert "Join" not in _plan(got)
+
+
+def test_a_text_is_split_once(spark, tmp_path):
+    d = _tables(spark, tmp_path, [(1, "a b, c")])
+    for name in ("ws_split", "punct_split", "positions_roberta", "unknown_tokens"):
+        assert _plan(PAIRS[name][0](spark, d)).split("+- == Initial Plan ==")[0].count("split(") == 1, name
+
+
+def test_rejected_texts_are_named_without_the_model(spark, tmp_path):
+    d = _tables(spark, tmp_path, [(1, None), (2, ""), (3, "a b c"), (4, "w " * 511), (5, "w " * 510)])
+    for name in ("encode_texts", "fill_mask"):
+        assert "Python" not in _plan(REJECTED[f"{name}_rejected"](spark, d)) and "Pandas" not in _plan(REJECTED[f"{name}_rejected"](spark, d))
+    rows = [None, [], [3], [1, 3, 2], [3, 3], [-1, 3], [32, 3], [1] * 20, [1] * 14, [3] + [1] * 20, [3] + [5] * 13, [3] + [5] * 14, [0, 2]]
+    for model in (encoder.synthetic(32, max_tokens=16), encoder.synthetic(32, max_tokens=16, pad_id=1)):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, ids array<int>")
+        for mask, whole in ((None, encoder.encode(docs, model)), (3, encoder.fill_mask(docs, model, 3))):
+            want = {r.doc_id: r.error for r in whole.where("error is not null").collect()}
+            assert {r.doc_id: r.error for r in encoder.rejected(docs, model, mask).collect()} == want
+            assert {r.doc_id for r in encoder.taken(docs, model, mask).collect()} == set(range(len(rows))) - set(want)
+
+
+def test_the_last_layer_at_one_place():
+    model = encoder.synthetic(32, layers=2)
+    for layer in (0, 1, 2):
+        ids, at = np.arange(24).reshape(3, 8) % 32, np.array([0, 3, 7])
+        assert np.allclose(model.hidden(ids, layer=layer, only=at)[:, 0], model.hidden(ids, layer=layer)[np.arange(3), at], rtol=0, atol=1e-12)
