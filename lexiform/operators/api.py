@@ -54,6 +54,11 @@ def wrapped(ids: Column, cls_id: int, sep_id: int) -> Column:
     return F.concat(F.array(F.lit(cls_id)), ids, F.array(F.lit(sep_id)))
 
 
+def wrapped_size(n: Column) -> Column:
+    """The number of tokens of so many ids between cls and sep."""
+    return n + 2
+
+
 def tokenize(docs: DataFrame, vocab: DataFrame, max_tokens: int, cls_id: int, sep_id: int, unk_id: int, profile: wordpiece.Profile = wordpiece.CASED) -> DataFrame:
     """docs with ids between cls and sep, their number, and whether the model takes fewer."""
     return sized(wordpiece.token_ids(docs, vocab, unk_id, profile=profile).withColumn("ids", wrapped(F.col("ids"), cls_id, sep_id)), max_tokens)
