@@ -107,3 +107,15 @@ def test_the_last_layer_at_one_place():
     for layer in (0, 1, 2):
         ids, at = np.arange(24).reshape(3, 8) % 32, np.array([0, 3, 7])
         assert np.allclose(model.hidden(ids, layer=layer, only=at)[:, 0], model.hidden(ids, layer=layer)[np.arange(3), at], rtol=0, atol=1e-12)
+
+
+def test_simple_texts_are_stripped_without_python(spark):
+    texts = [None, "", "naïve Ångström ǕẞЙ", "áb é", "가 Ω", "ệ ñ", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+
+    def want(x):
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
+
+    assert {r.i: r.p for r in df.select("i", T.strip_accents(F.col("text")).alias("p")).collect()} == {i: None if x is None else want(x) for i, x in enumerate(texts)}
+    assert "Python" not in _plan(df.select(T.strip_simple(F.col("text"))))
+    assert [r.s for r in df.orderBy("i").select(T.is_simple(F.col("text")).alias("s")).collect()] == [None, True, False, False, False, False, True]
